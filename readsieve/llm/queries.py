@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import decontam, langid, simhash
+from readsieve.llm import decontam, langid, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_decontamination": decontam.op2_decontamination,
+        "op3_quality": quality.op3_quality,
         "op5_simhash": simhash.op5_simhash,
     }
 
