@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import decontam, langid, quality, simhash
+from readsieve.llm import ann, decontam, langid, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1_language_id,
         "op2_decontamination": decontam.op2_decontamination,
         "op3_quality": quality.op3_quality,
+        "op4_ann": ann.op4_ann,
         "op5_simhash": simhash.op5_simhash,
     }
 
