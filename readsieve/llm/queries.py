@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import ann, decontam, langid, quality, simhash
+from readsieve.llm import ann, decontam, langid, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_ann": ann.op4_ann,
         "op5_simhash": simhash.op5_simhash,
+        "op9_warc": warc.op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.OP2_SQL}
+    return {"op2_decontamination": decontam.OP2_SQL, "op9_warc": warc.OP9_SQL}
