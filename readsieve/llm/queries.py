@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import ann, decontam, langid, quality, simhash, warc
+from readsieve.llm import ann, decontam, langid, quality, simhash, tokencount, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ann": ann.op4_ann,
         "op5_simhash": simhash.op5_simhash,
         "op9_warc": warc.op9_warc,
+        "op10_token_counts": tokencount.op10_token_counts,
     }
 
 
