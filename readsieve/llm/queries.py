@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import ann, decontam, langid, packing, quality, simhash, tokencount, warc
+from readsieve.llm import ann, decontam, langid, packing, quality, simhash, substring, tokencount, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_ann": ann.op4_ann,
         "op5_simhash": simhash.op5_simhash,
+        "op6_substring": substring.op6_substring,
         "op7_packing": packing.op7_packing,
         "op9_warc": warc.op9_warc,
         "op10_token_counts": tokencount.op10_token_counts,
