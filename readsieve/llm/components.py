@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Each round points nodes at smaller neighbours with grouped minima and joins; nothing is collected. Rounds grow with the square of
-the logarithm of the nodes. Each round's links are a written table, which cuts lineage and survives lost executors.
+Each round points nodes at smaller neighbours with grouped minima and joins, and before it every task contracts its own links, a
+bounded number, to stars; nothing is collected. Rounds grow with the square of the logarithm of the nodes. Each round's links
+are a written table, which cuts lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from readsieve.llm.common import Scratch
 
 
+#: Links that one task contracts at most, about: some 200 MB of memory. Its result, if no other task has links, is final.
+LOCAL_LINKS = 1_000_000
+
+
 def _same(column: Column) -> Column:
     """The value, hidden from the planner: the join on it shuffles both sides, so that AQE can split a hot key."""
     return F.bitwise_not(F.bitwise_not(column))
@@ -60,13 +65,22 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "links"
 
     Direction, repeats and self-links don't matter; links with a null end are none. No links give no rows."""
     start = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v")
-    now, before, k = scratch.table(start.mapInArrow(_contract, "u long, v long"), f"{name}-0"), None, 0
+    now, k = scratch.table(start, f"{name}-0"), 0
+    size, before = now.count(), None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        tasks = max(1, -(-size // LOCAL_LINKS))
+        now, k = scratch.table(now.coalesce(tasks).mapInArrow(_contract, "u long, v long"), f"{name}-{k + 1}"), k + 1
+        scratch.drop(f"{name}-{k - 1}")
+        if tasks == 1:  # one task has seen all links
             break
-        before, k = mark, k + 1
-        now = scratch.table(_small_star(_large_star(now).distinct()), f"{name}-{k}")
+        shrunk, size = size, now.count()
+        if size * 2 < shrunk:
+            continue
+        now, k = scratch.table(_small_star(_large_star(now)), f"{name}-{k + 1}"), k + 1
         scratch.drop(f"{name}-{k - 1}")
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before, size = mark, mark[0]
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -191,9 +191,8 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bound:
     nodes = scratch.table(marked.groupBy("fp").agg(F.min("_key").alias("first")), "nodes")
     parts = connected_components(near_links(nodes, scratch, bound), scratch)
     member = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    member = scratch.table(member, "members")
     least = member.groupBy("component").agg(F.min("first").alias("component_id")).select(F.bitwise_not(F.bitwise_not("component")).alias("c"), "component_id")
-    named = scratch.table(member.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id"), "named")
+    named = member.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id")
     return marked.join(named, F.col("fp") == F.col("f")).select(F.col("_key").alias(key), F.col("fp").alias("fingerprint_bits"), "component_id")
 
 
