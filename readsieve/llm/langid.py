@@ -121,9 +121,12 @@ def train(learning: DataFrame, text: str = "text", lang: str = "lang", key: str
     """Languages, sorted, and their unit prototypes. About ``per_language`` rows of each language are read, taken by the hash of
     their key. Rows without text or language don't count. The result has one row a language, whatever the size of the input."""
     rows = learning.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_l")).where(F.col("_l").isNotNull() & F.col("_t").isNotNull())
-    sizes = rows.groupBy("_l").agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("_l").agg(F.count("*").alias("_n")).collect()  # a row a language, as the result
+    if not sizes:
+        return [], np.zeros((0, dimensions))
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r._l, r._n)])[F.col("_l")]
     share = F.pmod(F.xxhash64(F.col("_k"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(sizes, "_l").where(share * F.col("_n") < per_language).select("_l", "_t")
+    sample = rows.where(share * size < per_language).select("_l", "_t")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(dimensions, seed), {}
