@@ -1 +1 @@
-
+"""Incremental marking over streams of alignments."""
