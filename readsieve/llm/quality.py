@@ -119,13 +119,16 @@ def fit_rows(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, latent
     return Model(rarity, projection, _units(rows @ projection), labels.astype(np.float64), weights.astype(np.float64))
 
 
-def train(learning: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", per_class: int = PER_CLASS, buckets: int = BUCKETS, seed: int = SEED) -> Model:
-    """Fits on about ``per_class`` rows of each class (0 and 1), taken by the hash of their key. Rows with another or no label don't
-    count; null texts count as empty."""
-    rows = learning.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
-    sizes = {r._y: r.n for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", per_class: int = PER_CLASS, buckets: int = BUCKETS, seed: int = SEED) -> Model:
+    """Fits on about ``per_class`` rows of each class (0 and 1) of labels, taken by the hash of their key, and the texts of docs with
+    these keys. Rows with another or no label don't count; null texts count as empty. The sample of labels, bounded by that
+    parameter, is broadcast to the texts."""
+    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
+    sizes = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = F.pmod(F.xxhash64(F.col("_k"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.when(F.col("_y") == 1, F.lit(per_class / max(sizes.get(1, 0), 1))).otherwise(F.lit(per_class / max(sizes.get(0, 0), 1)))
+    sample = known.where(share < wanted).limit(4 * per_class)
+    rows = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_k")).select("_k", "_t", "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +137,7 @@ def train(learning: DataFrame, text: str = "text", label: str = "label", key: st
                 found = features(texts[a:b], buckets)
                 yield pa.RecordBatch.from_pydict({"k": batch.column(0)[a:b].cast(pa.string()), "y": batch.column(2)[a:b], "x": pa.array([row.astype("<f4").tobytes() for row in found], pa.binary())})
 
-    got = rows.where(share < wanted).mapInArrow(count, "k string, y int, x binary").toArrow().to_pydict()
+    got = rows.mapInArrow(count, "k string, y int, x binary").toArrow().to_pydict()
     order = sorted(range(len(got["k"])), key=lambda i: (got["k"][i] or "", got["y"][i]))
     labels = np.array([got["y"][i] for i in order], np.int64)
     counts = np.frombuffer(b"".join(got["x"][i] for i in order), "<f4").reshape(len(order), 2 * buckets) if order else np.zeros((0, 2 * buckets), np.float32)
@@ -162,7 +165,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label")).where(~held_out(F.col("labelled")))
-    model = train(docs.join(labels, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    model = train(docs, labels, label="quality")
     asked = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return predict(asked, model).drop("text")
