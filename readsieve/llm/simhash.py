@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from readsieve.llm.common import Scratch, extended
+from readsieve.llm.common import Scratch, extended, fresh
 from readsieve.llm.components import connected_components
 
 BITS, SHINGLE, SEED, BOUND = 64, 3, 42, 2
@@ -155,7 +155,8 @@ def near_links(nodes: DataFrame, scratch: Scratch, bound: int = BOUND) -> DataFr
         rows.append(nodes.select(F.lit(k).alias("part"), _value(bits).alias("key"), "fp", F.lit(False).alias("probe")))
         flips = [_mask(c) for t in range(1, threshold + 1) for c in combinations(bits, t)]
         if flips:
-            near = F.transform(F.array(*map(F.lit, flips)), lambda x, bits=bits: x.bitwiseXOR(_value(bits)))
+            own = _value(bits)
+            near = F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda x: x.bitwiseXOR(own))  # noqa: B023
             rows.append(nodes.select(F.lit(k).alias("part"), F.explode(near).alias("key"), "fp", F.lit(True).alias("probe")))
     keyed = rows[0]
     for more in rows[1:]:
@@ -198,8 +199,9 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bound:
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", bound: int = BOUND) -> DataFrame:
     """Documents without near copies: of each component the row of the smallest key stays. Rows with a null key stay."""
-    copies = components(docs, text, key, bound).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_copy")).distinct()
-    return docs.join(copies, F.col(key) == F.col("_copy"), "left_anti")
+    (copy,) = fresh(docs, "_copy")
+    copies = components(docs, text, key, bound).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(copy)).distinct()
+    return docs.join(copies, F.col(key) == F.col(copy), "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
