@@ -67,9 +67,14 @@ class Scratch:
         fs.delete(hadoop, True)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df, a written table of narrow rows, has at most so many rows: the check before a broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores as make it none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def extended(df: DataFrame, ddl: str) -> StructType:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended
+from readsieve.llm.common import extended, fresh
 
 WINDOW = 13
 #: UTF-8 bytes of test items that one automaton is built of, and so the size of a broadcast.
@@ -184,10 +184,13 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         if out is None:
             out = part
         else:
-            more = part.where(F.size("hits") > 0).select(F.col(key).alias("_key"), F.col("hits").alias("_hits"), F.col("items").alias("_items"))
-            out = out.join(more, F.col(key) == F.col("_key"), "left").drop("_key")
-            out = out.withColumn("hits", F.concat("hits", F.coalesce("_hits", F.expr("array()")))).withColumn("items", F.array_sort(F.array_union("items", F.coalesce("_items", F.expr("array()"))))).drop("_hits", "_items")
-            out = out.withColumn("hits", _merged(F.array_sort("hits")))
+            other, more_hits, more_items = fresh(out, "_key", "_hits", "_items")
+            more = part.where(F.size("hits") > 0).select(F.col(key).alias(other), F.col("hits").alias(more_hits), F.col("items").alias(more_items))
+            names = out.columns
+            out = out.join(more, F.col(key) == F.col(other), "left")
+            both = _merged(F.array_sort(F.concat("hits", F.coalesce(more_hits, F.expr("array()")))))
+            found = F.array_sort(F.array_union("items", F.coalesce(more_items, F.expr("array()"))))
+            out = out.select(*[both.alias(c) if c == "hits" else found.alias(c) if c == "items" else F.col(c) for c in names])
     return out
 
 
@@ -229,10 +232,11 @@ def digest(found: DataFrame) -> DataFrame:
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", coverage: int = COVERAGE, **options) -> DataFrame:
     """Documents without benchmark passages: those of which one word in ``coverage`` or more is hit go; from the others the hit
     words go, with what stands between them. Columns stay as they are. Null and clean texts stay untouched."""
-    found = search(docs, items, text, **options)
+    names, place, schema = docs.columns, docs.columns.index(text), docs.schema
+    own = [c for c in names if c.lower() in ("n_words", "hits", "items")]  # those of docs are kept under other names meanwhile
+    found = search(docs.withColumnsRenamed(dict(zip(own, fresh(docs, *[f"{c}_" for c in own]), strict=True))), items, text, **options)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
     kept = found.where(~((hit > 0) & (hit * coverage >= F.col("n_words"))))
-    names, place = docs.columns, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +245,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", coverage
             columns = [pa.array(new, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.select(*names, "hits").mapInArrow(cut, docs.schema)
+    return kept.drop("n_words", "items").mapInArrow(cut, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import Scratch
+from readsieve.llm.common import Scratch, fresh
 
 #: Characters below which a line is left alone; a multiple of 8.
 LEAST = 16
@@ -113,14 +113,15 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits
     Null texts stay null, with 0 lines; rows with a null key are never cut and cut nobody; equal rows of one key count as one document;
     columns of docs with the added names are replaced. Lines keep their order and the white space around them."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, text, key, edits).select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("gone").alias("_gone"))
+    other, whole, marks, own = fresh(docs, "_key", "_whole", "_gone", "_text")
+    gone = repeated_lines(docs, text, key, edits).select(F.col("key").alias(other), F.col("whole").alias(whole), F.col("gone").alias(marks))
     names = docs.columns
-    joined = docs.withColumn("_text", F.xxhash64(text)).join(gone, (F.col(key) == F.col("_key")) & (F.col("_text") == F.col("_whole")), "left")
+    joined = docs.withColumn(own, F.xxhash64(text)).join(gone, (F.col(key) == F.col(other)) & (F.col(own) == F.col(whole)), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone")), lambda i: F.get(split, i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(marks)), lambda i: F.get(split, i)), "\n")
+    new = F.when(F.col(marks).isNull(), F.col(text)).otherwise(kept)
     counted = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in names], counted.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in names], counted.alias("n_lines"), F.coalesce(F.size(marks), F.lit(0)).alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import Scratch, extended
+from readsieve.llm.common import Scratch, extended, fresh
 
 #: A run has so many sentences and so many words at least.
 SENTENCES, WORDS = 2, 20
@@ -141,9 +141,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     The first occurrence of a run, by key and place, stays. A column of docs so named is replaced. Null texts stay null and
     have no sentences; null keys are never cut and cut nobody; rows that share a key should hold the same text and are cut alike."""
-    docs = docs.drop("n_removed", "_key", "_spans")
-    found = repeats(docs, text, key).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
+    docs = docs.drop("n_removed")
+    other, spans_of = fresh(docs, "_key", "_spans")
+    found = repeats(docs, text, key).select(F.col("key").alias(other), F.col("spans").alias(spans_of))
+    joined = docs.join(found, F.col(key) == F.col(other), "left")
     place, names = docs.columns.index(text), docs.columns
     schema = extended(docs, "n_removed int")
 
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             columns = [column if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=schema.names)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, schema)
+    return joined.select(*names, spans_of).mapInArrow(cut, schema)
 
 
 def _without(text: str, parts: list[tuple[int, int, int, str]], covered: set[int]) -> str:
