@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 1, 2, 4, 8, 16, 32
 FIRST, SECOND, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 64, 128, 256, 512, 1024, 2048
 
+# Fixed values that results depend on.
 #: Highest score of one read; the sum of two fits 16 bits.
 SCORE_CAP = 16_383
 #: Qualities below don't count.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readsieve import functions as R
 
+# Fixed values that results depend on: bins of the histogram, steps of the bisection.
 BINS = 100
 HALVINGS = 40
 
@@ -90,8 +91,7 @@ def set_size_histogram(members: DataFrame, optical: DataFrame | None = None) ->
 def report(row: DataFrame, histogram: DataFrame, header: list[str] = ()) -> str:
     """Metrics and histogram as a text file's content."""
     values = row.first()
-    names = {"unpaired_reads_examined": "UNPAIRED_READS_EXAMINED"}
-    columns = [names.get(c, c.upper()) for c in row.columns]
+    columns = [c.upper() for c in row.columns]
     lines = [x for h in header for x in ("## StringHeader", f"# {h}")]
     lines += ["", "## METRICS", "\t".join(columns), "\t".join("" if v is None else str(v) for v in values), "", "## HISTOGRAM\tDouble", "BIN CoverageMult"]
     lines += [f"{r.bin}\t{r.coverage_mult:.6f}" if r.coverage_mult is not None else f"{r.bin}\tnan" for r in histogram.orderBy("bin").collect()]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from readsieve.operators.duplicates import PAIR_KEY, attach
 
+# Fixed values that results depend on: distance, longest list, longest list of the closed form.
 PIXEL_DISTANCE = 100
 LIST_CAP = 300_000
 FAST = 3

@@ -17,7 +17,7 @@ from readsieve.operators.pairs import build_pairs
 
 @dataclass
 class Options:
-    """The defaults mark like the tool this engine stands in for; ``name_pattern`` "null" turns optical duplicates off."""
+    """``name_pattern`` "null" turns optical duplicates off."""
 
     strategy: str = E.SUM_OF_BASE_QUALITIES
     seed: int = 0

@@ -14,7 +14,7 @@ from readsieve.operators import ends as E
 from readsieve.operators import metrics as M
 from readsieve.operators import optical as O
 from readsieve.operators.pairs import build_pairs
-from readsieve.plans.markdup import Options, mark_duplicates
+from readsieve.plans.marking import Options, mark_duplicates
 from readsieve.sources.derived import reads
 
 class _Columns:

@@ -11,7 +11,7 @@ from readsieve.operators import metrics as M
 from readsieve.operators import optical as O
 from readsieve.operators.ends import derive_ends
 from readsieve.operators.pairs import build_pairs
-from readsieve.plans.markdup import Options, mark_duplicates
+from readsieve.plans.marking import Options, mark_duplicates
 from tests.model import mark
 
 ENDS = "idx long, qname string, first_of_pair boolean, tid int, coord int, rev boolean, score int, mate_tid int, has_mate boolean, tile int, x int, y int"

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from readsieve.plans.markdup import mark_duplicates
+from readsieve.plans.marking import mark_duplicates
 from readsieve.sources import bam, read_alignments, sam, write_alignments
 from readsieve.sources.header import Header
 

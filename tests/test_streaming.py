@@ -4,7 +4,7 @@ from readsieve.operators import duplicates as D
 from readsieve.operators.ends import derive_ends
 from readsieve.operators.pairs import build_pairs
 from readsieve.streaming.incremental import PAIR, stream_pair_duplicates, stream_pairs
-from tests.test_markdup import READS
+from tests.test_marking import READS
 
 NAMES = [f.split()[0] for f in PAIR.split(", ")]
 
