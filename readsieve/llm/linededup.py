@@ -117,10 +117,12 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits
     gone = repeated_lines(docs, text, key, edits).select(F.col("key").alias(other), F.col("whole").alias(whole), F.col("gone").alias(marks))
     names = docs.columns
     joined = docs.withColumn(own, F.xxhash64(text)).join(gone, (F.col(key) == F.col(other)) & (F.col(own) == F.col(whole)), "left")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(marks)), lambda i: F.get(split, i)), "\n")
+    (split,) = fresh(joined, "_lines")  # a column of its own, so that it is split once and only where lines go
+    joined = joined.withColumn(split, F.when(F.col(marks).isNotNull(), F.split(F.col(text), "\n", -1)))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(marks)), lambda i: F.get(F.col(split), i)), "\n")
     new = F.when(F.col(marks).isNull(), F.col(text)).otherwise(kept)
-    counted = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    counted = F.when(F.col(text).isNull(), 0).otherwise(breaks + 1)
     return joined.select(*[new.alias(c) if c == text else F.col(c) for c in names], counted.alias("n_lines"), F.coalesce(F.size(marks), F.lit(0)).alias("n_removed"))
 
 
