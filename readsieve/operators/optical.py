@@ -8,8 +8,10 @@ definition, so a group handed to Python is bounded.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +76,43 @@ def components(tiles: list[int], xs: list[int], ys: list[int], distance: int) ->
     return [root(i) for i in range(len(tiles))]
 
 
+def _flagged(rows: np.ndarray, distance: int) -> np.ndarray:
+    """Rows (idx1, idx2, tile, x, y, set_rep) of one list, in order of idx1: which are optical. Of a component the group's best stays,
+    else the member first by x, y and row."""
+    part = np.array(components(rows[:, 2].tolist(), rows[:, 3].tolist(), rows[:, 4].tolist(), distance))
+    order = np.lexsort((rows[:, 0], rows[:, 4], rows[:, 3], rows[:, 0] != rows[:, 5], part))
+    out = np.zeros(len(rows), bool)
+    out[order[1:]] = part[order[1:]] == part[order[:-1]]
+    return out
+
+
 def _many(members: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    def flag(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["idx1", "idx2"])
-        rows["component"] = components(rows["tile"].tolist(), rows["x"].tolist(), rows["y"].tolist(), distance)
-        rows["kept"] = rows["idx1"] != rows["set_rep"]
-        ranked = rows.sort_values(["component", "kept", "x", "y", "idx1"])
-        return ranked[ranked.duplicated("component")][["idx1", "idx2"]]
-
-    return members.select(*keys, "idx1", "idx2", "tile", "x", "y", "set_rep").groupBy(*keys).applyInPandas(flag, "idx1 long, idx2 long")
+    """Lists come one after the other in sorted partitions; a batch's last is carried to the next batch."""
+    columns = ["idx1", "idx2", "tile", "x", "y", "set_rep"]
+    sortable = [F.xxhash64("library").alias("library") if k == "library" else F.col(k).cast("long").alias(k) for k in keys]
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(keys) + len(columns)), np.int64)
+        n = len(keys)
+
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = [0, *(np.flatnonzero((rows[1:, :n] != rows[:-1, :n]).any(1)) + 1).tolist(), len(rows)]
+            marks = np.concatenate([_flagged(rows[i:j, n:], distance) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[marks, n]), pa.array(rows[marks, n + 1])], names=["idx1", "idx2"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = np.concatenate([held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
+            last = np.flatnonzero((held[:, :n] != held[-1, :n]).any(1))
+            if len(last):
+                done, held = held[: last[-1] + 1], held[last[-1] + 1 :]
+                yield from found(done)
+        if len(held):
+            yield from found(held)
+
+    rows = members.select(*sortable, *[F.col(c).cast("long").alias(c) for c in columns])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "idx1").mapInArrow(flag, "idx1 long, idx2 long")
 
 
 def optical_pairs(members: DataFrame, distance: int = PIXEL_DISTANCE) -> DataFrame:

@@ -13,11 +13,13 @@ from readsieve.operators import ends as E
 from readsieve.operators import metrics as M
 from readsieve.operators import optical as O
 from readsieve.operators.pairs import build_pairs
+from readsieve.scratch import Scratch
 
 
 @dataclass
 class Options:
-    """``name_pattern`` "null" turns optical duplicates off."""
+    """``name_pattern`` "null" turns optical duplicates off; ``materialize`` writes ends and group members, which are narrow, to
+    the shared folder, so that the input is decoded once for them and once for the result, and lost executors cost no more than their tasks."""
 
     strategy: str = E.SUM_OF_BASE_QUALITIES
     seed: int = 0
@@ -30,6 +32,7 @@ class Options:
     remove_sequencing_duplicates: bool = False
     library_column: str | None = None
     library: str = ""
+    materialize: bool = True
     program: str | None = A.PROGRAM_ID
 
 
@@ -62,9 +65,11 @@ def mark_duplicates(reads: DataFrame, options: Options | None = None) -> Marked:
     which a look at one such row decides."""
     o = options or Options()
     off = o.name_pattern in ("null", "Null", "NULL", "")
-    ends = E.derive_ends(reads, o.strategy, o.seed, None if off else o.name_pattern, o.wrap_int16, o.library_column)
+    scratch = Scratch(reads.sparkSession, "marking") if o.materialize else None
+    kept_as = scratch.table if scratch else lambda df, name: df
+    ends = kept_as(E.derive_ends(reads, o.strategy, o.seed, None if off else o.name_pattern, o.wrap_int16, o.library_column), "ends")
     pairs = build_pairs(ends)
-    members = D.pair_members(pairs)
+    members = kept_as(D.pair_members(pairs), "members")
     optical = None if off or ends.where("not located").limit(1).count() else O.optical_pairs(members, o.pixel_distance)
     marks = None if optical is None else optical.select(F.explode(F.array("idx1", "idx2")).alias("idx"))
     verdicts = A.verdicts(D.pair_duplicates(members), D.frag_duplicates(ends), marks)
