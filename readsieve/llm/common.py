@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,6 +84,18 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema, *StructType.fromDDL(ddl)])
 
 
+def text_slices(column: pa.Array, most: int):
+    """(first row, end row, texts) of ranges of about ``most`` bytes, one row at least; only one range's texts are Python objects."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+    start, held = 0, 0
+    for i, n in enumerate([*sizes, most + 1]):
+        if i == len(sizes) or (i > start and held + n > most):
+            if i > start:
+                yield start, i, column.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += n
+
+
 def text_blocks(texts: list[str | None], most: int):
     """Ranges of rows holding about ``most`` characters, one row at least."""
     start, chars = 0, 0

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, held_out, text_blocks
+from readsieve.llm.common import extended, held_out, text_blocks, text_slices
 
 DIMENSIONS = 512
 SEED = 20_251
 #: Learning texts a language at most (about: rows are taken by the hash of their id).
 TRAIN_PER_LANGUAGE = 2_000
 #: Characters worked on at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 #: Sums of unit vectors are exchanged as integers of this step, so that results don't depend on the order of additions.
 STEP = 2.0**30
 UNDETERMINED = "und"
@@ -131,9 +131,9 @@ def train(learning: DataFrame, text: str = "text", lang: str = "lang", key: str
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(dimensions, seed), {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_blocks(texts, BLOCK_CHARS):
-                units = np.rint(_units(profiler.bundle(texts[a:b])) * STEP).astype(np.int64)
+            langs = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), BLOCK_CHARS):
+                units = np.rint(_units(profiler.bundle(texts)) * STEP).astype(np.int64)
                 for name, row in zip(langs[a:b], units, strict=True):
                     sums[name] = sums.get(name, 0) + row
         for name, row in sums.items():
@@ -162,10 +162,9 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, known = Profiler(prototypes_d, seed), models.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
             labels, scores = [], []
-            for a, b in text_blocks(texts, BLOCK_CHARS):
-                bundles = profiler.bundle(texts[a:b])
+            for a, b, texts in text_slices(batch.column(place), BLOCK_CHARS):
+                bundles = profiler.bundle(texts)
                 if not names:
                     labels += [UNDETERMINED] * (b - a)
                     scores += [0.0] * (b - a)
@@ -174,7 +173,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 best = np.argmax(np.round(cosines, 12), axis=1)
                 none = ~bundles.any(axis=1)
                 if none.any():  # a bundle can vanish by chance
-                    none &= [not any(map(str.isalpha, t or "")) for t in texts[a:b]]
+                    none &= [not any(map(str.isalpha, t or "")) for t in texts]
                 labels += [UNDETERMINED if z else names[k] for z, k in zip(none, best, strict=True)]
                 scores += [0.0 if z else min(1.0, max(0.0, float(row[k]))) for z, k, row in zip(none, best, cosines, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
