@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, held_out, text_blocks
+from readsieve.llm.common import extended, held_out, text_blocks, text_slices
 
 #: Labelled rows a class at most (about: rows are taken by the hash of their id). Their weights restore the classes' shares.
 PER_CLASS = 2_000
@@ -26,7 +26,7 @@ LATENT = 64
 NEIGHBOURS = 60
 TEMPERATURE = 0.05
 THRESHOLD = 0.7
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 SEED = 7
 
 #: Classes of bytes: 1 lower case (and all beyond ASCII), 2 upper case, 3 digit; others stand for themselves.
@@ -132,9 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_blocks(texts, BLOCK_CHARS):
-                found = features(texts[a:b], buckets)
+            for a, b, texts in text_slices(batch.column(1), BLOCK_CHARS):
+                found = features(texts, buckets)
                 yield pa.RecordBatch.from_pydict({"k": batch.column(0)[a:b].cast(pa.string()), "y": batch.column(2)[a:b], "x": pa.array([row.astype("<f4").tobytes() for row in found], pa.binary())})
 
     got = rows.mapInArrow(count, "k string, y int, x binary").toArrow().to_pydict()
@@ -155,8 +154,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            found = [known.score(features(texts[i : min(i + 256, b)], buckets)) for a, b in text_blocks(texts, BLOCK_CHARS) for i in range(a, b, 256)]
+            found = [known.score(features(texts[i : i + 256], buckets)) for _, _, texts in text_slices(batch.column(place), BLOCK_CHARS) for i in range(0, len(texts), 256)]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
