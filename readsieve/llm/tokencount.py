@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readsieve.llm.common import Scratch, extended, text_blocks
+from readsieve.llm.common import Scratch, extended, text_slices
 
 BLOCK_TOKENS = 4 << 20
 #: Blocks of a file that are scanned together before groups are.
@@ -53,7 +53,7 @@ def _fs(path: str):
 def write_tokens(docs: DataFrame, folder: str, text: str = "text", vocabulary: str | None = None, end: int = END, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Tokenises docs into flat files of ``folder``, a task writing files of its own, and gives where each document went: the other
     columns of docs, ``file`` and ``ordinal``, its place among the file's documents. Null and empty texts are documents of no token.
-    Lone surrogates become replacement marks. The files of a task that ran twice stay, but only those named in the result count."""
+    The files of a task that ran twice stay, but only those named in the result count."""
     docs = docs.drop("file", "ordinal")
     place, kept = docs.columns.index(text), [c for c in docs.columns if c != text]
     schema = extended(docs.select(*kept), "file string, ordinal long")
@@ -65,15 +65,14 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", vocabulary: s
         out, name, size, count = None, "", 0, 0
         try:
             for batch in batches:
-                texts = [(t or "").encode("utf-8", "replace").decode() for t in batch.column(place).to_pylist()]
                 files, ordinals = [], []
-                for a, b in text_blocks(texts, 1 << 20):
+                for a, b, texts in text_slices(batch.column(place), 1 << 20):
                     if out is None or size >= file_tokens:
                         if out:
                             out.close()
                         name, size, count = f"{uuid.uuid4().hex}.tokens", 0, 0
                         out = system.open_output_stream(f"{root}/{name}")
-                    flat = np.concatenate([np.append(np.array(ids, width), np.array(end, width)) for ids in encode(texts[a:b], num_threads=1)])
+                    flat = np.concatenate([np.append(np.array(ids, width), np.array(end, width)) for ids in encode([t or "" for t in texts], num_threads=1)])
                     out.write(flat.tobytes())
                     size += len(flat)
                     files += [name] * (b - a)
