@@ -1,17 +1,17 @@
-"""Helpers that several training-data operators share: scratch tables, word splitting and sharding."""
+"""Helpers that several training-data operators share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from readsieve.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "extended", "fresh", "held_out", "shared_dir", "text_blocks", "text_slices"]
+
 #: Learning rows are those whose crc32 of the id, as text, is not 2 modulo 4; the others are held out.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 
@@ -21,54 +21,6 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MODULUS) == HELD_OUT_REMAINDER
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "readsieve-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables in the shared folder; they cut lineage and survive lost executors.
-
-    Tables that a result still reads go when the JVM ends; ``drop`` frees one earlier.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._forget_at_exit(self.root)
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-    def _forget_at_exit(self, path: str) -> None:
-        fs, hadoop = self._fs(path)
-        fs.mkdirs(hadoop)
-        fs.deleteOnExit(hadoop)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df once and gives the written table."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        fs, hadoop = self._fs(self.path(name))
-        fs.delete(hadoop, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many more underscores as make it none of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []
