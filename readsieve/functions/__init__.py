@@ -93,7 +93,8 @@ def cigar_ops(cigar: Column) -> Column:
 
 def reference_length(cigar: Column) -> Column:
     """Reference bases that the alignment spans: its M, D, N, = and X."""
-    return _sum_of(cigar, r"(\d+)[MDN=X]")
+    whole = F.when(cigar.endswith("M"), F.substring(cigar, F.lit(1), F.length(cigar) - 1).try_cast("int"))  # one operation, as most have
+    return F.coalesce(whole, _sum_of(cigar, r"(\d+)[MDN=X]"))
 
 
 def query_length(cigar: Column) -> Column:
@@ -101,12 +102,16 @@ def query_length(cigar: Column) -> Column:
     return _sum_of(cigar, r"(\d+)[MIS=X]")
 
 
+def _clipped(cigar: Column) -> Column:
+    return cigar.contains("S") | cigar.contains("H")
+
+
 def leading_clip(cigar: Column, ops: str = "SH") -> Column:
-    return _sum_of(F.regexp_extract(cigar, rf"^((?:\d+[{ops}])*)", 1), r"(\d+)[SH]")
+    return F.when(~_clipped(cigar), 0).otherwise(_sum_of(F.regexp_extract(cigar, rf"^((?:\d+[{ops}])*)", 1), r"(\d+)[SH]"))
 
 
 def trailing_clip(cigar: Column, ops: str = "SH") -> Column:
-    return _sum_of(F.regexp_extract(cigar, rf"((?:\d+[{ops}])*)$", 1), r"(\d+)[SH]")
+    return F.when(~_clipped(cigar), 0).otherwise(_sum_of(F.regexp_extract(cigar, rf"((?:\d+[{ops}])*)$", 1), r"(\d+)[SH]"))
 
 
 def inserted_length(cigar: Column) -> Column:
@@ -145,9 +150,9 @@ def orientation(first_reverse: Column, second_reverse: Column) -> Column:
 
 def sum_of_base_qualities(qual: Column, seq: Column) -> Column:
     """Qualities of 15 or more, summed and capped. Without qualities every base counts as 255."""
-    base = lambda total, c: total + F.when(F.ascii(c) - 33 >= LEAST_QUALITY, F.ascii(c) - 33).otherwise(0)
+    base = lambda total, code: total + F.when(code >= LEAST_QUALITY + 33, code - 33).otherwise(0)
     bases = F.when((seq == "*") | seq.isNull(), 0).otherwise(F.length(seq))
-    summed = F.when((qual == "*") | qual.isNull(), bases * MISSING_QUALITY).otherwise(F.aggregate(F.split(qual, ""), F.lit(0), base))
+    summed = F.when((qual == "*") | qual.isNull(), bases * MISSING_QUALITY).otherwise(F.aggregate(F.transform(F.split(qual, ""), F.ascii), F.lit(0), base))
     return F.least(summed, F.lit(SCORE_CAP))
 
 
@@ -170,19 +175,28 @@ def wrap16(value: Column) -> Column:
     return (value + 32_768).bitwiseAND(F.lit(65_535)) - 32_768
 
 
-def location(qname: Column, pattern: str | None = None, wrap: bool = True) -> Column:
-    """struct<tile,x,y> of a read name, null where it has none.
+def name_numbers(qname: Column, pattern: str | None = None) -> Column:
+    """array<int> of the tile, x and y in a read name, null where it has none.
 
     Without a pattern: the leading integers of the last three of 5 or 7 fields between colons. A pattern must match the whole name;
     its first three groups are the numbers."""
-    if pattern is None:
-        fields = F.split(qname, ":", -1)
-        parts = [F.when(F.size(fields).isin(5, 7), F.regexp_extract(F.element_at(fields, -k), r"^\s*([+-]?\d+)", 1)) for k in (3, 2, 1)]
-    else:
-        parts = [F.regexp_extract(qname, f"^(?:{pattern})$", k) for k in (1, 2, 3)]
-    numbers = [p.try_cast("int") for p in parts]
+    if pattern is not None:
+        return F.array(*[F.regexp_extract(qname, f"^(?:{pattern})$", k).try_cast("int") for k in (1, 2, 3)])
+    fields = F.split(qname, ":", -1)
+    number = lambda f: F.coalesce(f.try_cast("int"), F.regexp_extract(f, r"^\s*([+-]?\d+)", 1).try_cast("int"))
+    return F.when(F.size(fields).isin(5, 7), F.transform(F.slice(fields, -3, 3), number))
+
+
+def located(numbers: Column) -> Column:
+    """Whether all three numbers are there."""
+    return F.coalesce(F.forall(numbers, lambda n: n.isNotNull()), F.lit(False))
+
+
+def location(qname: Column, pattern: str | None = None, wrap: bool = True) -> Column:
+    """struct<tile,x,y> of a read name, null where it has none; see name_numbers()."""
+    numbers = name_numbers(qname, pattern)
     fit = wrap16 if wrap else lambda v: v
-    return F.when(numbers[0].isNotNull() & numbers[1].isNotNull() & numbers[2].isNotNull(), F.struct(*[fit(n).alias(k) for n, k in zip(numbers, ("tile", "x", "y"), strict=True)]))
+    return F.when(located(numbers), F.struct(*[fit(F.get(numbers, F.lit(i))).alias(k) for i, k in enumerate(("tile", "x", "y"))]))
 
 
 def pack_position(tid: Column, pos: Column) -> Column:

@@ -29,12 +29,14 @@ def derive_ends(reads: DataFrame, strategy: str = SUM_OF_BASE_QUALITIES, seed: i
     mate_tid is -1 for reads that count as unpaired; tile is -1 where the name has no location. ``library`` names a column that keeps
     reads of different libraries apart."""
     flag = F.col("flag")
-    at = R.location(F.col("qname"), name_pattern, wrap)
     extra = [F.col(library).alias("library")] if library else []
-    return candidates(reads).select(
+    rows = candidates(reads).select(
         "idx", "qname", *extra,
         R.is_first_of_pair(flag).alias("first_of_pair"), "tid", R.five_prime(flag, F.col("pos"), F.col("cigar")).cast("int").alias("coord"), R.is_reverse(flag).alias("rev"),
         score(strategy, seed).cast("int").alias("score"),
-        F.when(R.has_mapped_mate(flag), F.col("mtid")).otherwise(-1).alias("mate_tid"), R.has_mapped_mate(flag).alias("has_mate"),
-        F.coalesce(at["tile"], F.lit(-1)).alias("tile"), F.coalesce(at["x"], F.lit(-1)).alias("x"), F.coalesce(at["y"], F.lit(-1)).alias("y"), at.isNotNull().alias("located"),
+        F.when(R.has_mapped_mate(flag), F.col("mtid")).otherwise(-1).alias("mate_tid"), R.has_mapped_mate(flag).alias("has_mate"), R.name_numbers(F.col("qname"), name_pattern).alias("numbers"),
     )
+    known = rows.withColumn("located", R.located(F.col("numbers")))  # each step reads the last one's columns, so names are parsed once
+    fit = R.wrap16 if wrap else lambda v: v
+    at = [F.when(F.col("located"), fit(F.get("numbers", F.lit(i)))).otherwise(-1).alias(k) for i, k in enumerate(("tile", "x", "y"))]
+    return known.select(*[c for c in rows.columns if c != "numbers"], *at, "located")

@@ -49,6 +49,9 @@ from reads
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads table of ``orders``: unpaired, half-mapped, unmapped and paired templates, with clips, gaps and extra alignments."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:  # a small file is one split, yet several cores' work
+        orders = orders.repartition(cores, "o_orderkey")
     base = spark.sql(_BASE.replace("from orders", "from {orders}"), orders=orders)
     ends = spark.sql(_READS.replace("from base", "from {base}"), base=base)
     return spark.sql(_FIELDS.replace("from reads", "from {reads}"), reads=ends)
