@@ -27,19 +27,16 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._forget_at_exit(self.root)
+        fs, hadoop = self._fs(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        self.root = fs.makeQualified(hadoop).toString()  # with its scheme, also for readers other than Spark
+        fs.mkdirs(hadoop)
+        fs.deleteOnExit(hadoop)
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
-    def _forget_at_exit(self, path: str) -> None:
-        fs, hadoop = self._fs(path)
-        fs.mkdirs(hadoop)
-        fs.deleteOnExit(hadoop)
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
