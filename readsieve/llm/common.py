@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from readsieve.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "extended", "fresh", "held_out", "shared_dir", "text_blocks", "text_slices"]
+__all__ = ["Scratch", "extended", "fresh", "held_out", "shared_dir", "text_blocks", "text_slices", "texts_in_arrow"]
 
 #: Learning rows are those whose crc32 of the id, as text, is not 2 modulo 4; the others are held out.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
@@ -21,6 +21,18 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MODULUS) == HELD_OUT_REMAINDER
 
 
+#: Rows that go to a Python worker at once where rows hold whole texts; memory on both sides follows it.
+TEXT_ROWS = 1_000
+
+
+def texts_in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow for rows with whole texts: lowers the session's Arrow batch size to TEXT_ROWS first, where it is larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting, "10000")) <= TEXT_ROWS:
+        df.sparkSession.conf.set(setting, str(TEXT_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many more underscores as make it none of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, fresh
+from readsieve.llm.common import extended, fresh, texts_in_arrow
 
 WINDOW = 13
 #: UTF-8 bytes of test items that one automaton is built of, and so the size of a broadcast.
@@ -218,7 +218,7 @@ def _walk(spark: SparkSession, docs: DataFrame, shard: list[tuple[int, str]], te
                 found.append(sorted(items))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(hits, spans), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return texts_in_arrow(docs, scan, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", coverage
             columns = [pa.array(new, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.drop("n_words", "items").mapInArrow(cut, schema)
+    return texts_in_arrow(kept.drop("n_words", "items"), cut, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

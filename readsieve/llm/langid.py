@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, held_out, text_blocks, text_slices
+from readsieve.llm.common import extended, held_out, text_blocks, text_slices, texts_in_arrow
 
 DIMENSIONS = 512
 SEED = 20_251
@@ -139,7 +139,7 @@ def train(learning: DataFrame, text: str = "text", lang: str = "lang", key: str
         for name, row in sums.items():
             yield pa.RecordBatch.from_pydict({"l": pa.array([name] * dimensions), "i": pa.array(range(dimensions), pa.int32()), "v": pa.array(row)})
 
-    total = sample.mapInArrow(bundles, "l string, i int, v long").groupBy("l", "i").agg(F.sum("v").alias("v"))
+    total = texts_in_arrow(sample, bundles, "l string, i int, v long").groupBy("l", "i").agg(F.sum("v").alias("v"))
     got = total.collect()  # languages x dimensions
     names = sorted({r.l for r in got})
     prototypes = np.zeros((len(names), dimensions))
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     prototypes_d = prototypes.shape[1] if prototypes.ndim == 2 and len(prototypes) else DIMENSIONS
-    return docs.mapInArrow(score, schema)
+    return texts_in_arrow(docs, score, schema)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

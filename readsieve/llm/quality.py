@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, held_out, text_blocks, text_slices
+from readsieve.llm.common import extended, held_out, text_blocks, text_slices, texts_in_arrow
 
 #: Labelled rows a class at most (about: rows are taken by the hash of their id). Their weights restore the classes' shares.
 PER_CLASS = 2_000
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 found = features(texts, buckets)
                 yield pa.RecordBatch.from_pydict({"k": batch.column(0)[a:b].cast(pa.string()), "y": batch.column(2)[a:b], "x": pa.array([row.astype("<f4").tobytes() for row in found], pa.binary())})
 
-    got = rows.mapInArrow(count, "k string, y int, x binary").toArrow().to_pydict()
+    got = texts_in_arrow(rows, count, "k string, y int, x binary").toArrow().to_pydict()
     order = sorted(range(len(got["k"])), key=lambda i: (got["k"][i] or "", got["y"][i]))
     labels = np.array([got["y"][i] for i in order], np.int64)
     counts = np.frombuffer(b"".join(got["x"][i] for i in order), "<f4").reshape(len(order), 2 * buckets) if order else np.zeros((0, 2 * buckets), np.float32)
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return texts_in_arrow(docs, score, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from readsieve.llm.common import Scratch, extended, fresh
+from readsieve.llm.common import Scratch, extended, fresh, texts_in_arrow
 from readsieve.llm.components import connected_components
 
 BITS, SHINGLE, SEED, BOUND = 64, 3, 42, 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint_b
             found = np.array([fingerprint(t.as_py()) for t in batch.column(place)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(found)], names=schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return texts_in_arrow(docs, scan, schema)
 
 
 def _bit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import Scratch, extended, fresh
+from readsieve.llm.common import Scratch, extended, fresh, texts_in_arrow
 
 #: A run has so many sentences and so many words at least.
 SENTENCES, WORDS = 2, 20
@@ -126,9 +126,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     scratch = Scratch(docs.sparkSession, "substring")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
-    twice = rows.mapInArrow(lambda batches: _bundled(_marks(batches)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = texts_in_arrow(rows, lambda batches: _bundled(_marks(batches)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     twice = scratch.table(twice.select(F.col("h").alias("t")), "twice")
-    spans = rows.mapInArrow(lambda batches: _bundled(_spans(batches)), f"key {kind}, a int, b int, h long, g long")
+    spans = texts_in_arrow(rows, lambda batches: _bundled(_spans(batches)), f"key {kind}, a int, b int, h long, g long")
     met = scratch.table(spans.join(twice, F.col("h") == F.col("t")).drop("t"), "met")
     first = met.groupBy("h", "g").agg(F.min(F.struct("key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = scratch.table(first.select(F.col("h").alias("fh"), F.col("g").alias("fg"), F.col("first.key").alias("fkey"), F.col("first.a").alias("fa")), "first")
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             columns = [column if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=schema.names)
 
-    return joined.select(*names, spans_of).mapInArrow(cut, schema)
+    return texts_in_arrow(joined.select(*names, spans_of), cut, schema)
 
 
 def _without(text: str, parts: list[tuple[int, int, int, str]], covered: set[int]) -> str:

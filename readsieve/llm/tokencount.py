@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from readsieve.llm.common import Scratch, extended, text_slices
+from readsieve.llm.common import Scratch, extended, text_slices, texts_in_arrow
 
 BLOCK_TOKENS = 4 << 20
 #: Blocks of a file that are scanned together before groups are.
@@ -83,7 +83,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", vocabulary: s
             if out:
                 out.close()
 
-    return docs.mapInArrow(write, schema)
+    return texts_in_arrow(docs, write, schema)
 
 
 def _scan(ids: np.ndarray, end: int) -> np.ndarray:
