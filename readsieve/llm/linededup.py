@@ -99,9 +99,12 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edi
     again = firsts.where("c > 1").select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos"), F.col("first.whole").alias("fwhole"))
     if edits:
         near = scratch.table(_near(lines, marked, firsts, scratch), "near")
+        for name in ("halves", "wanted", "texts", "eighths", "variants", "groups"):
+            scratch.drop(name)
         again = again.join(near, (F.col("ah") == F.col("nh")) & (F.col("ag") == F.col("ng")), "left_anti")
         again = again.union(near.select("nh", "ng", *[F.lit(None).cast(again.schema[c].dataType) for c in again.columns[2:]]))
     again = scratch.table(again, "again")
+    scratch.drop("firsts")
     first = (F.col("key") == F.col("fkey")) & (F.col("pos") == F.col("fpos")) & (F.col("whole") == F.col("fwhole"))
     gone = marked.join(again, (F.col("h") == F.col("ah")) & (F.col("g") == F.col("ag"))).where(~F.coalesce(first, F.lit(False)))
     return gone.groupBy("key", "whole").agg(F.collect_set("pos").alias("gone"))
