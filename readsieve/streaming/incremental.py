@@ -69,9 +69,10 @@ def _pair(name: str, a: tuple, b: tuple) -> tuple:
 def stream_pair_duplicates(pairs: DataFrame, slack: int = SLACK) -> DataFrame:
     """(idx, set_rep, set_size) of both ends of every pair but a group's best, given out when the watermark passes the group's last end.
 
-    A pair that comes later than that is dropped, as the engine does with late rows. State is a score and two row
+    A pair's time is the place of its later end, by reference and then coordinate. One that comes later than the watermark is dropped, as
+    the engine does with late rows; groups that the watermark hasn't passed when the stream ends aren't given out. State is a score and two row
     numbers for each pair of the open groups."""
-    keyed = pairs.withColumn("at", position_time(F.greatest("tid1", "tid2"), F.greatest("coord1", "coord2"))).withWatermark("at", f"{slack} seconds")
+    keyed = pairs.withColumn("at", position_time(F.col("tid2"), F.col("coord2"))).withWatermark("at", f"{slack} seconds")
     held = "ranks array<long>, firsts array<long>, seconds array<long>"
 
     def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,7 +88,7 @@ def stream_pair_duplicates(pairs: DataFrame, slack: int = SLACK) -> DataFrame:
             firsts += batch["idx1"].tolist()
             seconds += batch["idx2"].tolist()
         state.update((ranks, firsts, seconds))
-        closes = (max(int(key[0]), int(key[3])) * SPAN + max(int(key[1]), int(key[4])) + 1) * 1000
+        closes = (int(key[3]) * SPAN + int(key[4]) + 1) * 1000
         state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
 
     key = ["tid1", "coord1", "orient", "tid2", "coord2"]

@@ -47,3 +47,15 @@ def test_groups_close_behind_the_watermark(spark, tmp_path):
     want = D.pair_duplicates(D.pair_members(pairs))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     assert want.count() == 40
+
+
+def test_ends_on_two_references_do_not_move_the_watermark_too_far(spark, tmp_path):
+    far = ("a", 0, 200_000_000, 0, 5, 1_000, 1, 3, 3, 1, -1, 0, 0)
+    later = [("b", 5, 2_000, 2, 5, 2_300, 3, 3, 3, 9, -1, 0, 0), ("c", 5, 2_000, 4, 5, 2_300, 5, 3, 3, 1, -1, 0, 0)]
+    end = [("z", 5, 300_000_000 + k, 10_000 + 2 * k, 5, 300_000_000 + k, 10_001 + 2 * k, 3, 3, 1, -1, 0, 0) for k in range(3)]
+    schema = spark.createDataFrame([], PAIR).schema
+    for part in ([far], later[:1], later[1:], end[:1], end[1:2], end[2:]):
+        spark.createDataFrame(part, PAIR).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(stream_pair_duplicates(stream, slack=100), "two_references", spark)
+    assert sorted(tuple(r) for r in got.collect()) == [(4, 2, 2), (5, 2, 2)]
