@@ -1,10 +1,11 @@
 """Line dedup within one edit, by a deletion-neighbourhood join, in DataFrame functions alone.
 
 Lines are distinct by two 64-bit hashes. Two lines are within one insertion, deletion or substitution only if some deletion variants of them are
-equal; emitting every variant of every line would square the text, so two exact filters come first. A line of about 8L characters has 8
+equal; emitting every variant of every line would square the text, so exact filters come first. A line of about 8L characters has 8
 regions; leaving region s out, what stands before it (from the start) and behind it (from the end) must be equal in both lines for the s in
 which the edit is. Keys of halves, over all lines, and of eighths, over the lines those leave, pick the (line, region) that
-share a key with another line. Their regions' variants are then emitted as hashed keys and joined:
+share a key with another line. Long regions are cut into eighths again, so work grows with a line's length and not its square; lines under
+LEAST characters are one region. The regions' variants are then emitted as hashed keys and joined:
 equal variants with the character deleted at the same place differ by a substitution, and a variant equal to a whole region by an
 insertion. So each group of equal keys needs its earliest line only, never its pairs. The edit distance to it is verified.
 """
@@ -16,97 +17,128 @@ from pyspark.sql import functions as F
 
 from readsieve.llm.common import Scratch, fresh
 
-#: Characters below which a line is left alone; a multiple of 8.
+#: Characters below which a line is one region; a multiple of BAND.
 LEAST = 16
+#: Regions of more characters are cut again.
+NARROW = 256
 SPACE = " \t\r\x0b\x0c"
 BAND = 8
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, hash of the whole text, pos and line, trimmed, of the lines that count."""
+    """key, hash of the whole text, pos and line, trimmed, of the lines that aren't blank."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("whole"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(SPACE))).withColumn("n", F.length("line")).where(F.col("n") >= LEAST)
+    return rows.withColumn("line", F.btrim("line", F.lit(SPACE))).withColumn("n", F.length("line")).where("n > 0")
 
 
-def _around(line: Column, n: Column, size: Column, region: int, regions: int) -> Column:
-    """Hash of what stands before and behind a region of a line that belongs to the band of ``size`` characters."""
+def _hashes(line: str = "line") -> list[Column]:
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
+
+
+def _around(k: Column, line: Column, n: Column, size: Column, region: int, regions: int) -> Column:
+    """Hash of k and what stands before and behind a region of a line that belongs to the band of ``size`` characters."""
     part = (size / regions).cast("int")
     behind = part * (regions - 1 - region)
-    return F.xxhash64(size, F.lit(region), F.substring(line, F.lit(1), part * region), F.substring(line, n - behind + 1, behind))
+    return F.xxhash64(k, size, F.lit(region), F.substring(line, F.lit(1), part * region), F.substring(line, n - behind + 1, behind))
 
 
-def _bands(build) -> Column:
-    """Arrays that ``build`` gives for the line's band, and for the band below where the line is that band's next length."""
-    n = F.col("n")
+def _bands(build, n: Column) -> Column:
+    """Arrays that ``build`` gives for the band of a line of n characters, and for the band below where n is that band's next length."""
     size = n - n % BAND
     return F.when((n % BAND == 0) & (n > LEAST), F.concat(build(size), build(size - BAND))).otherwise(build(size))
 
 
+def _halves() -> Column:
+    """Keys of a line's halves; none of a short line."""
+    keys = _bands(lambda size: F.array(*[_around(F.lit(0), F.col("line"), F.col("n"), size, s, 2) for s in range(2)]), F.col("n"))
+    return F.when(F.col("n") < LEAST, F.expr("cast(array() as array<bigint>)")).otherwise(keys)
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
-    """Keys k that two lines at least have."""
-    return keyed.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select(F.col("k").alias("kk"))
+    """The rows of keyed whose key k another row has; no line has a key twice."""
+    twice = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.bitwise_not(F.bitwise_not("k")).alias("kk"))
+    return keyed.join(twice, F.col("k") == F.col("kk")).drop("kk")
 
 
-def _near(lines: DataFrame, marked: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, g) of the distinct lines that have an earlier line within one edit. firsts: h, g, first of each distinct line."""
-    halves = marked.select("h", "g", F.explode("halves").alias("k"))
-    shared = scratch.table(_shared(halves), "halves")
-    some = halves.join(shared, F.col("k") == F.col("kk")).select(F.col("h").alias("sh"), F.col("g").alias("sg")).distinct()
-    wanted = firsts.join(some, (F.col("h") == F.col("sh")) & (F.col("g") == F.col("sg"))).select("h", "g", "first")
-    wanted = scratch.table(wanted.select("h", "g", "first", F.col("first.key").alias("wkey"), F.col("first.pos").alias("wpos"), F.col("first.whole").alias("wwhole")), "wanted")
-    texts = lines.join(wanted, (F.col("key") == F.col("wkey")) & (F.col("pos") == F.col("wpos")) & (F.col("whole") == F.col("wwhole"))).select("h", "g", "first", "line", "n").dropDuplicates(["h", "g"])
-    texts = scratch.table(texts, "texts")
+def _cut(rows: DataFrame) -> DataFrame:
+    """(id, k, region) of the eighths of the regions in rows, with new keys; those that no other line shares go."""
+    region, n = F.col("region"), F.length("region")
 
     def eighths(size: Column) -> Column:
         part = (size / 8).cast("int")
-        return F.array(*[F.struct(_around(F.col("line"), F.col("n"), size, s, 8).alias("k"), F.substring(F.col("line"), part * s + 1, F.col("n") - part * 7).alias("region")) for s in range(8)])
-
-    keyed = texts.select("h", "g", "first", F.explode(_bands(eighths)).alias("x")).select("h", "g", "first", "x.k", "x.region")
-    keyed = keyed.join(scratch.table(_shared(keyed), "eighths"), F.col("k") == F.col("kk")).drop("kk")
-    # kind 0: a place deleted, with the place; 1: a place deleted; 2: nothing deleted
-    without = lambda i: F.concat(F.substring(F.col("region"), F.lit(1), i - 1), F.substring(F.col("region"), i + 1, F.length("region")))
-    places = F.when(F.length("region") > 0, F.sequence(F.lit(1), F.length("region"))).otherwise(F.expr("cast(array() as array<int>)"))
-    deleted = F.flatten(F.transform(places, lambda i: F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("k", i, without(i)).alias("v")), F.struct(F.lit(1).alias("kind"), F.xxhash64("k", F.lit(0), without(i)).alias("v")))))
-    whole = F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64("k", F.lit(0), F.col("region")).alias("v")))
-    variants = scratch.table(keyed.select("h", "g", "first", F.explode(F.concat(deleted, whole)).alias("x")).select("h", "g", "first", "x.kind", "x.v").distinct(), "variants")
-    line = F.struct("first", "h", "g")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, line))
-    groups = variants.groupBy("v").agg(least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"), F.count("*").alias("c")).where("c > 1").drop("c")
-    groups = scratch.table(groups.withColumnRenamed("v", "vv"), "groups")
+        return F.array(*[F.struct(_around(F.col("k"), region, n, size, s, 8).alias("k"), F.substring(region, part * s + 1, n - part * 7).alias("region")) for s in range(8)])
+
+    return _shared(rows.select("id", F.explode(_bands(eighths, n)).alias("x")).select("id", "x.k", "x.region"))
+
+
+def _variants(regions: DataFrame) -> DataFrame:
+    """(id, kind, v): kind 0 is a place deleted, with the place; 1 a place deleted, of equal neighbours the first; 2 nothing deleted. So no row comes twice."""
+    region = F.col("region")
+    without = lambda i: F.concat(F.substring(region, F.lit(1), i - 1), F.substring(region, i + 1, F.length(region)))
+    places = F.when(F.length(region) > 0, F.sequence(F.lit(1), F.length(region))).otherwise(F.expr("cast(array() as array<int>)"))
+    new = F.filter(places, lambda i: (i == 1) | (F.substring(region, i, F.lit(1)) != F.substring(region, i - 1, F.lit(1))))
+    variant = lambda kind, place, text: F.struct(F.lit(kind).alias("kind"), F.xxhash64("k", place, text).alias("v"))
+    found = F.concat(F.transform(places, lambda i: variant(0, i, without(i))), F.transform(new, lambda i: variant(1, F.lit(0), without(i))), F.array(variant(2, F.lit(0), region)))
+    return regions.select("id", F.explode(found).alias("x")).select("id", "x.kind", "x.v")
+
+
+def _near(lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(nh, ng) of the distinct lines that have an earlier line within one edit. firsts: first, halves and short of each distinct line."""
+    place = [F.col(f"first.{c}").alias(f"w{c}") for c in ("key", "pos", "whole")]
+    long = _shared(firsts.where(F.size("halves") > 0).select(*place, F.explode("halves").alias("k"))).select("wkey", "wpos", "wwhole")
+    wanted = long.union(firsts.where("short").select(*place)).distinct()
+    # numbered in the order of first occurrences
+    wanted = wanted.repartitionByRange("wkey", "wpos", "wwhole").sortWithinPartitions("wkey", "wpos", "wwhole").withColumn("id", F.monotonically_increasing_id())
+    wanted = scratch.table(wanted, "wanted")
+    texts = lines.join(wanted, (F.col("key") == F.col("wkey")) & (F.col("pos") == F.col("wpos")) & (F.col("whole") == F.col("wwhole")))
+    texts = scratch.table(texts.select("id", "line", "n").dropDuplicates(["id"]), "texts")
+    longest = texts.agg(F.max("n")).first()[0] or 0
+    level, k = _cut(texts.where(F.col("n") >= LEAST).select("id", F.lit(0).cast("long").alias("k"), F.col("line").alias("region"))), 0
+    regions = texts.where(F.col("n") <= LEAST).select("id", F.lit(-1).cast("long").alias("k"), F.col("line").alias("region"))
+    while (longest := longest // 8 + BAND) > NARROW + 1:
+        level, k = scratch.table(level, f"level-{k}"), k + 1
+        regions = regions.union(level.where(F.length("region") <= NARROW + 1))  # the next length goes both ways, to meet either neighbour
+        level = _cut(level.where(F.length("region") > NARROW))
+    variants = scratch.table(_variants(regions.union(level)), "variants")
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id")))
+    groups = variants.groupBy("v").agg(least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"), F.count("*").alias("c")).where("c > 1")
+    groups = groups.select(F.bitwise_not(F.bitwise_not("v")).alias("vv"), "m0", "m1", "m2")
     other = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = variants.join(groups, F.col("v") == F.col("vv")).withColumn("other", other).where(F.col("other.first") < F.col("first"))
-    met = met.groupBy("h", "g").agg(F.min("other").alias("other")).select("h", "g", F.col("other.h").alias("oh"), F.col("other.g").alias("og"))
-    left = texts.select(F.col("h").alias("lh"), F.col("g").alias("lg"), F.col("line").alias("l"))
-    right = texts.select(F.col("h").alias("rh"), F.col("g").alias("rg"), F.col("line").alias("r"))
-    seen = met.join(left, (F.col("h") == F.col("lh")) & (F.col("g") == F.col("lg"))).join(right, (F.col("oh") == F.col("rh")) & (F.col("og") == F.col("rg")))
-    return seen.where(F.levenshtein("l", "r", 1) >= 0).select(F.col("h").alias("nh"), F.col("g").alias("ng"))
+    met = variants.join(groups, F.col("v") == F.col("vv")).withColumn("other", other).where("other < id").groupBy("id").agg(F.min("other").alias("other"))
+    left = texts.select(F.col("id").alias("lid"), F.col("line").alias("l"))
+    right = texts.select(F.col("id").alias("rid"), F.col("line").alias("r"))
+    seen = met.join(left, F.col("id") == F.col("lid")).join(right, F.col("other") == F.col("rid")).where(F.levenshtein("l", "r", 1) >= 0)
+    near = scratch.table(seen.select(*[c.alias(f"n{x}") for c, x in zip(_hashes("l"), "hg", strict=True)]), "near")
+    for name in ("wanted", "texts", "variants", *[f"level-{i}" for i in range(k)]):
+        scratch.drop(name)
+    return near
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """(key, whole, gone): of each document with any, the numbers of its lines that go; whole is xxhash64 of its text.
 
     A line goes if an earlier one, by key and then line number, equals it or (edits 1) is within one edit of it, whether that one
-    stays or not. Lines are compared without the white space around them; those under LEAST characters stay."""
+    stays or not. Lines are compared without the white space around them; blank ones stay."""
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, key, text)
-    ids = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    halves = _bands(lambda size: F.array(*[_around(F.col("line"), F.col("n"), size, s, 2) for s in range(2)]))
-    marked = scratch.table(lines.select("key", "whole", "pos", *ids, halves.alias("halves")), "marked")
-    firsts = scratch.table(marked.groupBy("h", "g").agg(F.min(F.struct("key", "pos", "whole")).alias("first"), F.count("*").alias("c")), "firsts")
-    again = firsts.where("c > 1").select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos"), F.col("first.whole").alias("fwhole"))
+    more = [_halves().alias("halves"), (F.col("n") <= LEAST).alias("short")] if edits else []
+    marked = lines.select("key", "whole", "pos", *_hashes(), *more)
+    if edits:
+        marked = scratch.table(marked, "marked")
+    firsts = marked.groupBy("h", "g").agg(F.min(F.struct("key", "pos", "whole")).alias("first"), F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("halves", "short") if edits])
+    again = firsts.where("c > 1").select("h", "g", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("key", "pos", "whole")])
     if edits:
-        near = scratch.table(_near(lines, marked, firsts, scratch), "near")
-        for name in ("halves", "wanted", "texts", "eighths", "variants", "groups"):
-            scratch.drop(name)
-        again = again.join(near, (F.col("ah") == F.col("nh")) & (F.col("ag") == F.col("ng")), "left_anti")
-        again = again.union(near.select("nh", "ng", *[F.lit(None).cast(again.schema[c].dataType) for c in again.columns[2:]]))
-    again = scratch.table(again, "again")
-    scratch.drop("firsts")
+        firsts = scratch.table(firsts, "firsts")
+        near = _near(lines, firsts, scratch)
+        found = firsts.join(near, (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left").where("c > 1 or nh is not null")
+        # of lines near an earlier one not even the first stays
+        again = found.select("h", "g", *[F.when(F.col("nh").isNull(), F.col(f"first.{c}")).alias(f"f{c}") for c in ("key", "pos", "whole")])
+    again = again.withColumnsRenamed({"h": "ah", "g": "ag"})
     first = (F.col("key") == F.col("fkey")) & (F.col("pos") == F.col("fpos")) & (F.col("whole") == F.col("fwhole"))
-    gone = marked.join(again, (F.col("h") == F.col("ah")) & (F.col("g") == F.col("ag"))).where(~F.coalesce(first, F.lit(False)))
+    gone = marked.select("key", "whole", "pos", "h", "g").join(again, (F.col("h") == F.col("ah")) & (F.col("g") == F.col("ag"))).where(~F.coalesce(first, F.lit(False)))
     return gone.groupBy("key", "whole").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -138,7 +170,7 @@ OP8_SQL = r"""
 with lines as (
   select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as raw from documents where text is not null
 ), counting as (
-  select doc_id, pos, trim(raw, concat(' ', chr(9), chr(13), chr(11), chr(12))) as line from lines where length(trim(raw, concat(' ', chr(9), chr(13), chr(11), chr(12)))) >= 16
+  select doc_id, pos, trim(raw, concat(' ', chr(9), chr(13), chr(11), chr(12))) as line from lines where length(trim(raw, concat(' ', chr(9), chr(13), chr(11), chr(12)))) > 0
 ), firsts as (
   select line, min(struct_pack(d := doc_id, p := pos)) as f, row_number() over () as id from counting group by line
 ), variants as (

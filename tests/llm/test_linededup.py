@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from readsieve.llm import linededup as ld
 from tests.llm.edge import CLASHES, documents, plain
@@ -20,7 +21,7 @@ def brute(rows, edits):
     lines = [(i, n, raw.strip(ld.SPACE)) for i, t in sorted(rows) for n, raw in enumerate(t.split("\n"))]
     gone, seen = set(), []
     for i, n, line in lines:
-        if len(line) < ld.LEAST:
+        if not line:
             continue
         if any(line == s or (edits and within_one(line, s)) for s in seen):
             gone.add((i, n))
@@ -30,7 +31,7 @@ def brute(rows, edits):
 
 def corpus(seed):
     rng = random.Random(seed)
-    base = ["".join(rng.choices("ab é", k=rng.choice([14, 15, 16, 17, 23, 24, 25, 31, 32, 33, 80]))) for _ in range(25)]
+    base = ["".join(rng.choices("ab é", k=rng.choice([1, 2, 3, 5, 8, 14, 15, 16, 17, 23, 24, 25, 31, 32, 33, 80]))) for _ in range(40)]
 
     def changed(line):
         i = rng.randrange(len(line) + 1)
@@ -39,6 +40,18 @@ def corpus(seed):
     return [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for i in range(70)]
 
 
+def long_lines(seed):
+    """Some of thousands of characters, with edits at every place and runs of one character."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("ab", k=k)) for k in (700, 2047, 2048, 2049, 2303, 5000)] + ["a" * 900, "a" * 901, "ab" * 1000]
+    rows = []
+    for i in range(60):
+        line = rng.choice(base)
+        at = rng.choice([0, len(line), rng.randrange(len(line))])
+        rows.append((i, rng.choice([line, line[:at] + "c" + line[at:], line[:at] + line[at + 1 :], line[:at] + "c" + line[at + 1 :], line[:at] + "cc" + line[at:]])))
+    return rows
+
+
 @pytest.mark.parametrize(("seed", "edits"), [(1, 1), (2, 1), (3, 0)])
 def test_against_brute_force(spark, seed, edits):
     rows = corpus(seed)
@@ -47,6 +60,26 @@ def test_against_brute_force(spark, seed, edits):
     assert sum(n for _, n in got.values()) > 20
 
 
+def test_long_lines_against_brute_force(spark, monkeypatch):
+    rows = long_lines(4)
+    monkeypatch.setattr(ld, "NARROW", 24)
+    got = {r.doc_id: (r.text, r.n_removed) for r in ld.remove_lines(plain(spark, [(i, t, None) for i, t in rows]).repartition(4)).collect()}
+    assert got == brute(rows, 1)
+    assert 10 < sum(n for _, n in got.values()) < 55
+
+
+def test_work_grows_with_the_length_of_a_line(spark):
+    """Variants are of regions of bounded length: of two lines of 120,000 characters that differ in one some hundreds, not 30,000."""
+    a = "".join(random.Random(5).choices("abcdefgh ", k=120_000))
+    docs = plain(spark, [(1, a, None), (2, a[:70_000] + "Z" + a[70_001:], None), (3, a[::-1], None)])
+    lines = ld._lines(docs, "doc_id", "text")
+    rows = lines.select(F.col("key").alias("id"), F.lit(0).cast("long").alias("k"), F.col("line").alias("region"))
+    for _ in range(3):
+        rows = ld._cut(rows)
+    assert 2 <= ld._variants(rows).count() <= 16 * (ld.NARROW + ld.BAND)
+    assert {r.doc_id: r.n_removed for r in ld.remove_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_many_lines_around_one(spark):
     rows = [(i, f"This is page number {i % 10} of the very same report") for i in range(200)]
     got = {r.doc_id: r.n_removed for r in ld.remove_lines(plain(spark, [(i, t, None) for i, t in rows])).collect()}
