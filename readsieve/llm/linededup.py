@@ -165,7 +165,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-#: Deletion variants of whole lines, joined on their hashes and verified.
+#: Deletion variants of whole lines, joined on their hashes: one character deleted at the same place of both lines, or of one line only. DuckDB's
+#: levenshtein counts bytes, which would take one edited letter beyond ASCII for several edits.
 OP8_SQL = r"""
 with lines as (
   select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as raw from documents where text is not null
@@ -174,13 +175,12 @@ with lines as (
 ), firsts as (
   select line, min(struct_pack(d := doc_id, p := pos)) as f, row_number() over () as id from counting group by line
 ), variants as (
-  select id, hash(substr(line, 1, i - 1) || substr(line, i + 1)) as v from (select id, line, unnest(range(1, length(line) + 1)) as i from firsts)
-  union select id, hash(line) from firsts
+  select id, i as place, hash(substr(line, 1, i - 1) || substr(line, i + 1)) as v from (select id, line, unnest(range(1, length(line) + 1)) as i from firsts)
+  union all select id, 0, hash(line) from firsts
 ), met as (
-  select distinct a.id as x, b.id as y from variants a join variants b on a.v = b.v and a.id <> b.id
+  select distinct a.id as x, b.id as y from variants a join variants b on a.v = b.v and a.id <> b.id and (a.place = b.place or a.place = 0 or b.place = 0)
 ), near as (
-  select distinct x.line from met join firsts x on x.id = met.x join firsts y on y.id = met.y
-  where y.f < x.f and levenshtein(x.line, y.line) <= 1
+  select distinct x.line from met join firsts x on x.id = met.x join firsts y on y.id = met.y where y.f < x.f
 ), gone as (
   select distinct c.doc_id, c.pos from counting c join firsts f on c.line = f.line left join near n on c.line = n.line
   where n.line is not null or struct_pack(d := c.doc_id, p := c.pos) <> f.f
