@@ -25,10 +25,14 @@ SPACE = " \t\r\x0b\x0c"
 BAND = 8
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, hash of the whole text, pos and line, trimmed, of the lines that aren't blank."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("whole"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, hash of the whole text, and text, of the documents that count."""
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("whole"), F.col(text).alias("text"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """key, whole, pos and line, trimmed, of the lines that aren't blank."""
+    rows = rows.select("key", "whole", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(SPACE))).withColumn("n", F.length("line")).where("n > 0")
 
 
@@ -83,16 +87,20 @@ def _variants(regions: DataFrame) -> DataFrame:
     return regions.select("id", F.explode(found).alias("x")).select("id", "x.kind", "x.v")
 
 
-def _near(lines: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(nh, ng) of the distinct lines that have an earlier line within one edit. firsts: first, halves and short of each distinct line."""
+def _near(rows: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(nh, ng) of the distinct lines that have an earlier line within one edit. rows: as _rows; firsts: first, halves and short of each distinct line."""
     place = [F.col(f"first.{c}").alias(f"w{c}") for c in ("key", "pos", "whole")]
     long = _shared(firsts.where(F.size("halves") > 0).select(*place, F.explode("halves").alias("k"))).select("wkey", "wpos", "wwhole")
     wanted = long.union(firsts.where("short").select(*place)).distinct()
     # numbered in the order of first occurrences
     wanted = wanted.repartitionByRange("wkey", "wpos", "wwhole").sortWithinPartitions("wkey", "wpos", "wwhole").withColumn("id", F.monotonically_increasing_id())
     wanted = scratch.table(wanted, "wanted")
-    texts = lines.join(wanted, (F.col("key") == F.col("wkey")) & (F.col("pos") == F.col("wpos")) & (F.col("whole") == F.col("wwhole")))
-    texts = scratch.table(texts.select("id", "line", "n").dropDuplicates(["id"]), "texts")
+    places = wanted.groupBy("wkey", "wwhole").agg(F.collect_list(F.struct("wpos", "id")).alias("places"))
+    # always a shuffle of the texts, however few lines are wanted: a broadcast of those would end at some size
+    held = rows.join(places.hint("merge"), (F.col("key") == F.col("wkey")) & (F.col("whole") == F.col("wwhole"))).withColumn("lines", F.split("text", "\n", -1))
+    there = F.filter("places", lambda p: p["wpos"] < F.size("lines"))  # lines is named twice, so that it is split once and not for each place
+    line = F.explode(F.transform(there, lambda p: F.struct(p["id"].alias("id"), F.btrim(F.get("lines", p["wpos"]), F.lit(SPACE)).alias("line"))))
+    texts = scratch.table(held.select(line.alias("x")).select("x.id", "x.line").dropDuplicates(["id"]).withColumn("n", F.length("line")), "texts")
     longest = texts.agg(F.max("n")).first()[0] or 0
     level, k = _cut(texts.where(F.col("n") >= LEAST).select("id", F.lit(0).cast("long").alias("k"), F.col("line").alias("region"))), 0
     regions = texts.where(F.col("n") <= LEAST).select("id", F.lit(-1).cast("long").alias("k"), F.col("line").alias("region"))
@@ -123,7 +131,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edi
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, key, text)
+    rows = _rows(docs, key, text)
+    lines = _lines(rows)
     more = [_halves().alias("halves"), (F.col("n") <= LEAST).alias("short")] if edits else []
     marked = lines.select("key", "whole", "pos", *_hashes(), *more)
     if edits:
@@ -132,7 +141,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edi
     again = firsts.where("c > 1").select("h", "g", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("key", "pos", "whole")])
     if edits:
         firsts = scratch.table(firsts, "firsts")
-        near = _near(lines, firsts, scratch)
+        near = _near(rows, firsts, scratch)
         found = firsts.join(near, (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left").where("c > 1 or nh is not null")
         # of lines near an earlier one not even the first stays
         again = found.select("h", "g", *[F.when(F.col("nh").isNull(), F.col(f"first.{c}")).alias(f"f{c}") for c in ("key", "pos", "whole")])

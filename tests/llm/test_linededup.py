@@ -72,7 +72,7 @@ def test_work_grows_with_the_length_of_a_line(spark):
     """Variants are of regions of bounded length: of two lines of 120,000 characters that differ in one some hundreds, not 30,000."""
     a = "".join(random.Random(5).choices("abcdefgh ", k=120_000))
     docs = plain(spark, [(1, a, None), (2, a[:70_000] + "Z" + a[70_001:], None), (3, a[::-1], None)])
-    lines = ld._lines(docs, "doc_id", "text")
+    lines = ld._lines(ld._rows(docs, "doc_id", "text"))
     rows = lines.select(F.col("key").alias("id"), F.lit(0).cast("long").alias("k"), F.col("line").alias("region"))
     for _ in range(3):
         rows = ld._cut(rows)
