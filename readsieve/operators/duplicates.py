@@ -33,12 +33,12 @@ def _hidden(column: str, kind: str) -> Column:
 
 
 def attach(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of rows with one row of sums a key."""
+    """Inner join of rows with one row of sums a key; null keys, such as the library of reads without a group, meet each other."""
     kinds = dict(sums.dtypes)
     other = sums.select(*[_hidden(k, kinds[k]).alias(f"_{k}") for k in keys], *[c for c in sums.columns if c not in keys])
     met = F.lit(True)
     for k in keys:
-        met = met & (F.col(k) == F.col(f"_{k}"))
+        met = met & (F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "library" else F.col(k) == F.col(f"_{k}"))
     return rows.join(other, met).drop(*[f"_{k}" for k in keys])
 
 

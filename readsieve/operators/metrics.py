@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from readsieve import functions as R
 
-# Fixed values that results depend on: bins of the histogram, steps of the bisection.
+# Fixed values that results depend on: bins of the histogram; library sizes are given in 2^40 steps from one time to 100, 1,000, ... times
+# the unique pairs, whichever comes first.
 BINS = 100
-HALVINGS = 40
+STEPS, LEAST_SPAN, SPAN_GROWTH = 2**40, 100.0, 10.0
 
 
 def counts(annotated: DataFrame) -> DataFrame:
@@ -28,29 +29,23 @@ def counts(annotated: DataFrame) -> DataFrame:
 
 
 def library_size(pairs: int, unique: int) -> int:
-    """Molecules x in a library of which ``pairs`` draws gave ``unique`` different ones: the root of unique/x - 1 + exp(-pairs/x),
-    by bisection. 0 where there is nothing to estimate from."""
-    if pairs <= 0 or pairs <= unique or unique <= 0:
-        return 0
-
-    def excess(x: float) -> float:
-        return unique / x - 1 + math.exp(-pairs / x)
+    """Molecules x in a library of which ``pairs`` draws gave ``unique`` different ones: unique/x = 1 - exp(-pairs/x). 0 where there is
+    nothing to estimate from.
 
-    low, high = 1.0, 100.0
-    if excess(low * unique) < 0:
+    In r = pairs/x that is r * share + exp(-r) - 1 = 0, a convex function that is positive at 1/share, to the right of its root: Newton's
+    steps from there go down to the root and never pass it. The result is the middle of the step that holds it."""
+    if not 0 < unique < pairs:
         return 0
-    while excess(high * unique) > 0:
-        high *= 10
-    for _ in range(HALVINGS):
-        mid = (low + high) / 2
-        sign = excess(mid * unique)
-        if sign > 0:
-            low = mid
-        elif sign < 0:
-            high = mid
-        else:
-            break
-    return int(unique * (low + high) / 2)
+    share = unique / pairs
+    r, last = 1 / share, math.inf
+    while r < last:
+        r, last = r - (r * share + math.expm1(-r)) / (share - math.exp(-r)), r
+    times = pairs / last / unique
+    span = LEAST_SPAN
+    while span < times:
+        span *= SPAN_GROWTH
+    step = (span - 1) / STEPS
+    return int(unique * (1 + (math.floor((times - 1) / step) + 0.5) * step))
 
 
 def metrics(counted: DataFrame, library: str = "") -> DataFrame:

@@ -1,5 +1,6 @@
 """Marking against a sequential model on random ends, and hand-made cases."""
 
+import math
 import random
 
 import pytest
@@ -152,6 +153,15 @@ def test_libraries_can_be_kept_apart(spark):
     assert job(spark, rows, library_column="rg").reads.where("is_dup").count() == 1
 
 
+def test_reads_without_a_group_are_a_library(spark):
+    """Equal reads, some with a group and some without: each lot keeps one, single ends and pairs alike."""
+    rows = [(*read(i, f"I:{i}:F:1:1:5:5", 0, 10)[:-1], lib) for i, lib in enumerate([None, None, None, "a", "a"])]
+    assert job(spark, rows, library_column="rg").reads.where("is_dup").count() == 3
+    both = [(*r[:-1], None) for r in pairs([f"I:1:F:1:1:{50 * k}:100" for k in range(5)])]
+    alone, kept = (job(spark, both, **options).reads.where("is_dup").count() for options in ({}, {"library_column": "rg"}))
+    assert alone == kept == 8
+
+
 def test_missing_qualities_count_as_255(spark):
     df = spark.createDataFrame([read(0, "a", 0, 1, qual="*"), read(1, "b", 0, 1, qual="!I0/")], READS)
     assert [r.score for r in derive_ends(df).orderBy("idx").collect()] == [1020, 40 + 15]
@@ -168,6 +178,9 @@ def test_empty_input(spark):
 
 def test_library_size():
     assert M.library_size(10_000, 8_000) == 21_541
+    for unique in (10, 500, 9_990, 9_999):  # the equation holds at the result
+        size = M.library_size(10_000, unique)
+        assert abs(size * -math.expm1(-10_000 / size) - unique) < 1
     assert M.library_size(0, 0) == M.library_size(5, 5) == M.library_size(5, 0) == 0
 
 
