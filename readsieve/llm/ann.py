@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one a shard (after Subramanya et al., 2019).
 
-Equal vectors are one node. Nodes are dealt to shards of bounded size by hash; each shard starts from random edges and inserts its
+Equal vectors are one node. Nodes are dealt to shards of bounded size by hash, few enough that sending every query to every shard costs less than
+the vectors themselves until shards are as large as memory allows; each shard starts from random edges and inserts its
 nodes in batches: a greedy beam search from the shard's centre proposes neighbours, and pruning keeps a candidate unless a kept one is
 closer to it by a factor than the node is; edges also run back. Queries stream through every shard by beam search, and the
 best of all shards are merged. Vectors are searched in single precision; distances returned are computed in double precision.
@@ -18,7 +19,8 @@ from pyspark.sql.window import Window
 
 from readsieve.llm.common import Scratch
 
-SHARD_ROWS = 8_192
+#: Nodes of a shard; where that would make more shards than SHARDS, as many more as fit into SHARD_BYTES of vectors and edges.
+SHARD_ROWS, SHARDS, SHARD_BYTES = 8_192, 64, 256 << 20
 DEGREE, ALPHA = 28, 1.2
 BUILD_BEAM, QUERY_BEAM = 48, 96
 BATCH, STEP, NEAREST = 256, 4, 10
@@ -165,11 +167,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, key: str = "vec_i
     shape = lambda df: df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("e")).where(usable)
     equal = Window.partitionBy("h", "e")
     rows = shape(vectors).withColumn("h", F.xxhash64("e"))
-    # at most nearest + 1 ids of equal vectors can be answers; the limit is pushed below the shuffle
-    classes = rows.withColumn("r", F.dense_rank().over(equal.orderBy("k"))).where(F.col("r") <= nearest + 1).groupBy("h", "e").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    # at most nearest + 1 ids of equal vectors can be answers; the limit is pushed below the shuffle, and repeated rows don't pass it
+    classes = rows.distinct().withColumn("r", F.row_number().over(equal.orderBy("k"))).where(F.col("r") <= nearest + 1).groupBy("h", "e").agg(F.array_sort(F.collect_set("k")).alias("ks"))
     nodes = scratch.table(classes, "nodes")
-    n = nodes.count()
-    shards = max(1, -(-n // shard_rows))
+    n, width = nodes.agg(F.count("*"), F.max(F.size("e"))).first()
+    most = SHARD_BYTES // (12 * (width or 0) + 8 * DEGREE)
+    shards = max(1, -(-n // max(shard_rows, min(most, -(-n // SHARDS)))))
     dealt = nodes.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "ks", "e")
     asked = shape(queries).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), F.array("k").alias("ks"), "e")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from readsieve.llm.common import Scratch
 
 
-#: Links that one task contracts at most, about: some 200 MB of memory. Its result, if no other task has links, is final.
+#: Links that one task contracts at most, about, as they are dealt out evenly: some 200 MB of memory. Its result, if no other task has links, is final.
 LOCAL_LINKS = 1_000_000
 
 
@@ -69,7 +69,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "links"
     size, before = now.count(), None
     while True:
         tasks = max(1, -(-size // LOCAL_LINKS))
-        now, k = scratch.table(now.coalesce(tasks).mapInArrow(_contract, "u long, v long"), f"{name}-{k + 1}"), k + 1
+        now, k = scratch.table(now.repartition(tasks).mapInArrow(_contract, "u long, v long"), f"{name}-{k + 1}"), k + 1
         scratch.drop(f"{name}-{k - 1}")
         if tasks == 1:  # one task has seen all links
             break

@@ -4,8 +4,9 @@ The automaton accepts every run of words of every benchmark item. Walking a docu
 length of the longest run ending there that some item holds. Where that length reaches the window (13 words, or all words of a
 shorter item), the window's words are hit; suffix links lead to the items that hold it.
 
-Test items are cut into shards of bounded size, each broadcast on its own and walked over all documents; hits of several shards
-are merged per document. So no broadcast grows with the benchmark, and no document is shuffled unless there are several shards.
+Test items are cut into shards of bounded size, each broadcast on its own. Every task walks its documents, some at a time, through one shard's
+automaton after the other and merges the hits. So no broadcast grows with the benchmark, documents are read once however many
+shards there are, and nothing is shuffled or joined.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from readsieve.llm.common import extended, fresh, texts_in_arrow
 WINDOW = 13
 #: UTF-8 bytes of test items that one automaton is built of, and so the size of a broadcast.
 SHARD_BYTES = 2_000_000
+#: Bytes of documents that go through one shard's automaton before the next one's is built, where there are several.
+HELD_BYTES = 32_000_000
 #: A document is contaminated if hits are one word in so many at least.
 COVERAGE = 20
 
@@ -169,58 +172,59 @@ def shards(items: DataFrame, item_id: str, text: str, most: int = SHARD_BYTES) -
         yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
 
 
-def search(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key: str = "doc_id") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All columns of docs, and ``n_words`` long, ``hits`` array of (first, end) word spans, disjoint and in order, and ``items``,
     the sorted ids of the items with an occurring window. Columns of docs so named are replaced.
 
-    Null and empty texts have no words and no hits; rows may repeat; an empty benchmark gives no hits. With several shards rows
-    are joined by the key, so it must be unique then; rows whose key is null get no hits of the second and later shards."""
-    added = ("n_words", "hits", "items")
-    docs = docs.drop(*added)
-    spark = docs.sparkSession
-    out = None
-    for shard in shards(items, item_id, item_text, shard_bytes):
-        part = _walk(spark, docs if out is None else docs.select(key, text), shard, text, window)
-        if out is None:
-            out = part
-        else:
-            other, more_hits, more_items = fresh(out, "_key", "_hits", "_items")
-            more = part.where(F.size("hits") > 0).select(F.col(key).alias(other), F.col("hits").alias(more_hits), F.col("items").alias(more_items))
-            names = out.columns
-            out = out.join(more, F.col(key) == F.col(other), "left")
-            both = _merged(F.array_sort(F.concat("hits", F.coalesce(more_hits, F.expr("array()")))))
-            found = F.array_sort(F.array_union("items", F.coalesce(more_items, F.expr("array()"))))
-            out = out.select(*[both.alias(c) if c == "hits" else found.alias(c) if c == "items" else F.col(c) for c in names])
-    return out
-
-
-def _merged(spans):
-    last = lambda acc: F.element_at(acc, -1)
-    join = lambda acc, s: F.when(F.size(acc) > 0, F.when(s["first"] <= last(acc)["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))).otherwise(F.array(s))
-    return F.aggregate(spans, F.expr("cast(array() as array<struct<first:int,end:int>>)"), join)
-
-
-def _walk(spark: SparkSession, docs: DataFrame, shard: list[tuple[int, str]], text: str, window: int) -> DataFrame:
-    place = docs.columns.index(text)
+    Null and empty texts have no words and no hits; rows may repeat and keys play no part; an empty benchmark gives no hits."""
+    docs = docs.drop("n_words", "hits", "items")
+    spark, place = docs.sparkSession, docs.columns.index(text)
     schema = extended(docs, "n_words long, hits array<struct<first:int,end:int>>, items array<long>")
-    sent = spark.sparkContext.broadcast(shard)
+    sent = [spark.sparkContext.broadcast({"items": shard}) for shard in shards(items, item_id, item_text, shard_bytes)]
     spans = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(i, words(t)) for i, t in sent.value], window)
-        for batch in batches:
-            counts, hits, found = [], [], []
-            for t in batch.column(place):
-                tokens = words(t.as_py())
-                spans_, items = automaton.search(tokens)
-                counts.append(len(tokens))
-                hits.append([{"first": a, "end": b} for a, b in spans_])
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(hits, spans), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+        for held in _bundles(batches, HELD_BYTES if len(sent) > 1 else 0):
+            counts = [[0] * b.num_rows for b in held]
+            hits: list[list[list[tuple[int, int]]]] = [[[] for _ in c] for c in counts]
+            found: list[list[set[int]]] = [[set() for _ in c] for c in counts]
+            for shard in sent:
+                automaton = _automaton(shard.value, window, keep=len(sent) == 1)
+                for k, batch in enumerate(held):
+                    for row, t in enumerate(batch.column(place)):
+                        tokens = words(t.as_py())
+                        more, ids = automaton.search(tokens)
+                        counts[k][row] = len(tokens)
+                        if more:
+                            hits[k][row] = merged(hits[k][row] + more)
+                            found[k][row] |= ids
+            for k, batch in enumerate(held):
+                of = pa.array([[{"first": a, "end": b} for a, b in h] for h in hits[k]], spans)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[k], pa.int64()), of, pa.array([sorted(x) for x in found[k]], pa.list_(pa.int64()))], names=schema.names)
 
     return texts_in_arrow(docs, scan, schema)
 
 
+def _bundles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most`` bytes, one at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _automaton(shard: dict, window: int, keep: bool) -> Automaton:
+    """Of the items in a broadcast; kept with them, for the worker's next tasks, if wanted."""
+    found = shard.get(window) or Automaton([(i, words(t)) for i, t in shard["items"]], window)
+    if keep:
+        shard[window] = found
+    return found
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns n_hit, n_items, items_sha256 and contaminated, of those that search() adds."""
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])

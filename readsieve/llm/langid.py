@@ -25,6 +25,10 @@ SEED = 20_251
 TRAIN_PER_LANGUAGE = 2_000
 #: Characters worked on at once.
 BLOCK_CHARS = 500_000
+#: N-grams whose counts, a column each and a row a text, and code book are held at once.
+PART = 8_192
+#: Languages at most; a column with more isn't one of languages.
+LANGUAGES = 10_000
 #: Sums of unit vectors are exchanged as integers of this step, so that results don't depend on the order of additions.
 STEP = 2.0**30
 UNDETERMINED = "und"
@@ -104,11 +108,14 @@ class Profiler:
         first, rest = np.divmod(unique, base * base)
         second, third = np.divmod(rest, base)
         out = np.zeros((len(texts), self.d))
-        counts = np.bincount(doc * len(unique) + place, minlength=len(texts) * len(unique)).reshape(len(texts), -1).astype(np.float32)
-        for at in range(0, len(unique), 8192):  # the code book in parts of bounded size
-            part = slice(at, at + 8192)
+        order = np.argsort(place, kind="stable") if len(unique) > PART else slice(None)
+        place, doc = place[order], doc[order]
+        for at in range(0, len(unique), PART):  # counts and the code book in parts of bounded size
+            part = slice(at, at + PART)
             book = np.roll(self.letters, 2, 1)[first[part]] * np.roll(self.letters, 1, 1)[second[part]] * self.letters[third[part]]
-            out += counts[:, part] @ book.astype(np.float32)
+            held = slice(*np.searchsorted(place, (at, at + PART))) if len(unique) > PART else slice(None)
+            counts = np.bincount(doc[held] * len(book) + place[held] - at, minlength=len(texts) * len(book))
+            out += counts.reshape(len(texts), -1).astype(np.float32) @ book.astype(np.float32)
         return out
 
 
@@ -119,9 +126,11 @@ def _units(bundles: np.ndarray) -> np.ndarray:
 
 def train(learning: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their unit prototypes. About ``per_language`` rows of each language are read, taken by the hash of
-    their key. Rows without text or language don't count. The result has one row a language, whatever the size of the input."""
+    their key. Rows without text or language don't count. The result has one row a language; more than LANGUAGES are refused."""
     rows = learning.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_l")).where(F.col("_l").isNotNull() & F.col("_t").isNotNull())
-    sizes = rows.groupBy("_l").agg(F.count("*").alias("_n")).collect()  # a row a language, as the result
+    sizes = rows.groupBy("_l").agg(F.count("*").alias("_n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values")
     if not sizes:
         return [], np.zeros((0, dimensions))
     size = F.create_map(*[F.lit(x) for r in sizes for x in (r._l, r._n)])[F.col("_l")]

@@ -121,7 +121,7 @@ def fit_rows(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, latent
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", per_class: int = PER_CLASS, buckets: int = BUCKETS, seed: int = SEED) -> Model:
     """Fits on about ``per_class`` rows of each class (0 and 1) of labels, taken by the hash of their key, and the texts of docs with
-    these keys. Rows with another or no label don't count; null texts count as empty. The sample of labels, bounded by that
+    these keys; of several rows with a key one counts. Rows with another or no label don't count; null texts count as empty. The sample of labels, bounded by that
     parameter, is broadcast to the texts."""
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
     sizes = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 found = features(texts, buckets)
                 yield pa.RecordBatch.from_pydict({"k": batch.column(0)[a:b].cast(pa.string()), "y": batch.column(2)[a:b], "x": pa.array([row.astype("<f4").tobytes() for row in found], pa.binary())})
 
-    got = texts_in_arrow(rows, count, "k string, y int, x binary").toArrow().to_pydict()
+    # ids may repeat in docs: one row for each label, so that no more come here than labels were sampled
+    got = texts_in_arrow(rows, count, "k string, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x")).toArrow().to_pydict()
     order = sorted(range(len(got["k"])), key=lambda i: (got["k"][i] or "", got["y"][i]))
     labels = np.array([got["y"][i] for i in order], np.int64)
     counts = np.frombuffer(b"".join(got["x"][i] for i in order), "<f4").reshape(len(order), 2 * buckets) if order else np.zeros((0, 2 * buckets), np.float32)

@@ -1,163 +1,202 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; a long one is cut further after words that a hash picks, so that the cuts don't depend on what
-stands before. Every run of several consecutive sentences that is just long enough, counted from either of its ends, is hashed. Equal
-hashes are found by a grouped minimum over all documents, which also tells the first occurrence (smallest key, then place), and a
-join gives every other occurrence back to its document, whose covered sentences go.
+A text is cut into sentences. One of more than PIECE words is cut further: of every PIECE consecutive words of a sentence the one of the
+least hash ends a piece. So no piece is longer, and the cuts inside a passage don't depend on what stands around it. From each
+sentence on, the shortest run of several consecutive ones that has enough words is hashed, by differences of running sums. Every passage of
+51 words holds such a run, wherever it begins and ends: PIECE words at either end may be cut otherwise, and as many more may pass before the next cut.
+
+Equal hashes are found by a grouped minimum over all documents, which also tells the first occurrence (smallest key, then place), and a
+join gives every other occurrence back to its document. Runs carry codes of the words around them, so that the join also tells how far
+the words go on agreeing with the first occurrence; what so repeats, if it is long enough, goes.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from readsieve.llm.common import Scratch, extended, fresh, texts_in_arrow
 
-#: A run has so many sentences and so many words at least.
-SENTENCES, WORDS = 2, 20
-#: Sentences of more words are cut after words whose hash is 0 modulo CUT.
-LONG, CUT = 24, 8
+#: Words of a sentence or piece at most; sentences and words of a run at least.
+PIECE, SENTENCES, WORDS = 8, 2, 14
+#: Words of a repeated passage that goes, at least.
+PASSAGE = 51
+#: Words before and behind a run that are coded, and bits of each: a word beyond a passage agrees with a chance of 1 in 8.
+AROUND, CODE_BITS = 21, 3
+#: Words at once where memory follows it; words whose hashes are kept.
+BLOCK, KNOWN = 100_000, 500_000
 
-END = re.compile(r"[.!?…。！？]+(?=\s)|\n")
+MARKS = tuple(".!?…。！？")
 WORD = re.compile(r"\S+")
-
-
-def sentences(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, words in lower case) of each sentence; with the white space around them they make up the text.
-
-    They end after a mark that white space follows and at line breaks; blank ones don't count."""
-    out, start = [], 0
-    if not text:
-        return out
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
-        words = text[start:end].lower().split()
-        if 0 < len(words) <= LONG:
-            out.append((start, end, len(words), " ".join(words)))
-        elif words:
-            at, first, n = start, 0, 0
-            for m in WORD.finditer(text, start, end):
-                n += 1
-                if zlib.crc32(words[n - 1].encode("utf-8", "surrogatepass")) % CUT == 0 and n < len(words):
-                    out.append((at, m.end(), n - first, " ".join(words[first:n])))
-                    at, first = m.end(), n
-            out.append((at, end, len(words) - first, " ".join(words[first:])))
-        start = end
-    return out
-
-
-def runs(counts: list[int]) -> list[tuple[int, int]]:
-    """[first, end) of the shortest runs of SENTENCES and WORDS or more that start at a sentence or end with one."""
-    n, ahead = len(counts), [0]
-    for c in counts:
-        ahead.append(ahead[-1] + c)
-    found, end = [], 0
-    for i in range(n):
-        end = max(end, i + SENTENCES)
-        while end <= n and ahead[end] - ahead[i] < WORDS:
-            end += 1
-        if end > n:
-            break
-        found.append((i, end))
-    start = 0
-    for end in range(1, n + 1):
-        moved = False
-        while end - (start + 1) >= SENTENCES and ahead[end] - ahead[start + 1] >= WORDS:
-            start += 1
-            moved = True
-        if end - start >= SENTENCES and ahead[end] - ahead[start] >= WORDS:
-            # the shortest run from here ends here too unless the start stayed
-            if not moved and end - 1 - start >= SENTENCES and ahead[end - 1] - ahead[start] >= WORDS:
-                found.append((start, end))
-    return found
-
-
-def _hashes(text: str | None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """The runs of a text, and two 64-bit hashes of each."""
-    parts = sentences(text)
-    found = runs([p[2] for p in parts])
-    hashed = xxhash.xxh3_128_digest
-    joined = b"".join([hashed(p[3].encode("utf-8", "surrogatepass")) for p in parts])
-    return found, np.frombuffer(b"".join([hashed(joined[16 * a : 16 * b]) for a, b in found]), "<i8").reshape(-1, 2)
+U = np.uint64
+BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASES)
+
+
+class _Known(dict):
+    """Hashes of words; the last bit tells whether the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = found = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | word.endswith(MARKS)
+        return found
+
+
+def cuts(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, split at white space and in lower case; the first word of each sentence or piece, then the number of words.
+
+    Sentences end after a word that ends with a mark, and at line breaks."""
+    words: list[str] = []
+    breaks = []
+    for line in text.lower().split("\n") if text else ():
+        words += line.split()
+        breaks.append(len(words))
+    n = len(words)
+    hashes = np.fromiter(map(known.__getitem__, words), U, n)
+    if not n:
+        return hashes, np.zeros(1, np.int64)
+    last = (hashes & U(1)).astype(bool)
+    last[np.array(breaks, np.int64)[np.array(breaks) > 0] - 1] = True
+    ends = np.concatenate([[0], np.cumsum(last)])
+    order = hashes * BASES[0]
+    for at in range(0, n - PIECE + 1, BLOCK):
+        top = min(at + BLOCK, n - PIECE + 1)
+        picked = np.lib.stride_tricks.sliding_window_view(order[at : top + PIECE - 1], PIECE).argmin(axis=1) + np.arange(at, top)
+        inside = ends[at + PIECE - 1 : top + PIECE - 1] == ends[at:top]
+        last[picked[inside]] = True
+    last[-1] = True
+    return hashes, np.concatenate([[0], np.flatnonzero(last) + 1])
+
+
+def runs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word behind the last, and two 64-bit hashes of the shortest run of SENTENCES and WORDS or more from each sentence."""
+    if len(bounds) <= SENTENCES:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), U)
+    starts = bounds[:-1]
+    stop = np.maximum(np.searchsorted(bounds, starts + WORDS), np.arange(len(starts)) + SENTENCES)
+    whole = stop < len(bounds)
+    starts, stops = starts[whole], bounds[stop[whole]]
+    found = []
+    for base, inverse in zip(BASES, INVERSES, strict=True):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(hashes * _powers(base, len(hashes)), dtype=U)])
+        mixed = (sums[stops] - sums[starts]) * _powers(inverse, len(hashes))[starts]
+        found.append((mixed ^ (mixed >> U(29))) * U(0xBF58476D1CE4E5B9))
+    return starts, stops, np.stack(found)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; BLOCK are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is None or n > len(kept):
+        kept = np.full(max(n, BLOCK), base, U)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if len(kept) == BLOCK:
+            _POWERS[int(base)] = kept
+    return kept[:n]
+
+
+def _around(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the AROUND words before and behind each run, the nearest in the lowest bits; 0 for words that aren't there."""
+    pad = np.zeros(AROUND, U)
+    codes = np.concatenate([pad, (hashes >> U(13)) & U((1 << CODE_BITS) - 1), pad])
+    before, behind = np.zeros(len(starts), U), np.zeros(len(starts), U)
+    for t in range(AROUND):
+        before |= codes[starts + AROUND - 1 - t] << U(CODE_BITS * t)
+        behind |= codes[stops + AROUND + t] << U(CODE_BITS * t)
+    return before.view(np.int64), behind.view(np.int64)
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known()
     for batch in batches:
-        for text in batch.column(1):
-            _, halves = _hashes(text.as_py())
-            if len(halves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0]))], names=["h"])
+        found = [runs(*cuts(text.as_py(), known))[2][0] for text in batch.column(0)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known()
     for batch in batches:
-        for row, text in enumerate(batch.column(1)):
-            found, halves = _hashes(text.as_py())
-            if found:
-                ends = np.array(found, np.int32)
-                key = batch.column(0).take(pa.array(np.full(len(found), row)))
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(np.ascontiguousarray(x)) for x in (ends[:, 0], ends[:, 1], halves[:, 0], halves[:, 1]))], names=["key", "a", "b", "h", "g"])
-
-
-def _bundled(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer batches."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
+        rows, parts = [], []
+        for row, text in enumerate(batch.column(2)):
+            hashes, bounds = cuts(text.as_py(), known)
+            starts, stops, halves = runs(hashes, bounds)
+            if len(starts):
+                rows.append(np.full(len(starts), row))
+                parts.append((starts.astype(np.int32), (stops - starts).astype(np.int32), *halves.view(np.int64), *_around(hashes, starts, stops)))
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["key", "whole", "at", "n", "h", "g", "before", "behind"])
+
+
+def _agreeing(one: str, other: str):
+    """How many words agree, of the codes in two columns."""
+    x = F.col(one).bitwiseXOR(F.col(other))
+    zeros = F.bit_count(x.bitwiseAND(-x) - 1)
+    return F.when(x == 0, AROUND).otherwise((zeros / CODE_BITS).cast("int"))
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, spans): of each document with any, the runs [a, b) of its sentences that occurred before, in a document of smaller key or
-    earlier in its own. Documents are told apart by their key; those without one are never cut and cut nobody.
+    """(key, whole, spans): of each document with any, [first, end) of words that occurred before, in a document of smaller key or
+    earlier in its own; whole is xxhash64 of its text. Documents of one key are told apart by that; those without a key are never cut and cut nobody.
 
     One pass counts the runs' first hashes; a second brings the runs whose hash occurs twice, with all 128 bits and their places."""
     scratch = Scratch(docs.sparkSession, "substring")
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
-    twice = texts_in_arrow(rows, lambda batches: _bundled(_marks(batches)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("whole"), F.col(text).alias("text")).where("key is not null")
+    twice = texts_in_arrow(rows.select("text"), _marks, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     twice = scratch.table(twice.select(F.col("h").alias("t")), "twice")
-    spans = texts_in_arrow(rows, lambda batches: _bundled(_spans(batches)), f"key {kind}, a int, b int, h long, g long")
+    spans = texts_in_arrow(rows, _spans, f"key {kind}, whole long, at int, n int, h long, g long, before long, behind long")
     met = scratch.table(spans.join(twice, F.col("h") == F.col("t")).drop("t"), "met")
-    first = met.groupBy("h", "g").agg(F.min(F.struct("key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = scratch.table(first.select(F.col("h").alias("fh"), F.col("g").alias("fg"), F.col("first.key").alias("fkey"), F.col("first.a").alias("fa")), "first")
-    again = met.join(first, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg")) & ~((F.col("key") == F.col("fkey")) & (F.col("a") == F.col("fa"))))
-    return again.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of docs, the text without sentences that a repeated run covers, and ``n_removed``, how many those are.
-
-    The first occurrence of a run, by key and place, stays. A column of docs so named is replaced. Null texts stay null and
-    have no sentences; null keys are never cut and cut nobody; rows that share a key should hold the same text and are cut alike."""
+    scratch.drop("twice")
+    first = met.groupBy("h", "g").agg(F.min(F.struct("key", "whole", "at", "before", "behind")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    names = ("key", "whole", "at", "before", "behind")
+    first = first.select(F.bitwise_not(F.bitwise_not("h")).alias("fh"), F.col("g").alias("fg"), *[F.col(f"first.{c}").alias(f"f{c}") for c in names])
+    same = (F.col("key") == F.col("fkey")) & (F.col("whole") == F.col("fwhole"))
+    again = met.join(first, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))).where(~(same & (F.col("at") == F.col("fat"))))
+    start, end = F.col("at") - F.least(_agreeing("before", "fbefore"), "fat"), F.col("at") + F.col("n") + _agreeing("behind", "fbehind")
+    start = F.when(same, F.greatest(start, F.least(F.col("at"), F.col("fat") + F.col("n")))).otherwise(start)  # not into the first one
+    found = again.select("key", "whole", F.struct(F.greatest(start, F.lit(0)).alias("a"), end.alias("b")).alias("span"))
+    return found.groupBy("key", "whole").agg(F.collect_set("span").alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+    """All columns of docs, the text without repeated passages of ``passage`` words or more, and ``n_removed``, the sentences (or pieces of them) that
+    lost words. A passage is what adjoining and overlapping repeated spans cover.
+
+    The first occurrence, by key and place, stays. A column of docs so named is replaced. Null texts stay null and have no sentences; null
+    keys are never cut and cut nobody; rows that share a key are documents of their own if their texts differ, and one if not."""
     docs = docs.drop("n_removed")
-    other, spans_of = fresh(docs, "_key", "_spans")
-    found = repeats(docs, text, key).select(F.col("key").alias(other), F.col("spans").alias(spans_of))
-    joined = docs.join(found, F.col(key) == F.col(other), "left")
+    other, whole, spans_of, own = fresh(docs, "_key", "_whole", "_spans", "_own")
+    found = repeats(docs, text, key).select(F.col("key").alias(other), F.col("whole").alias(whole), F.col("spans").alias(spans_of))
+    joined = docs.withColumn(own, F.xxhash64(text)).join(found, (F.col(key) == F.col(other)) & (F.col(own) == F.col(whole)), "left")
     place, names = docs.columns.index(text), docs.columns
     schema = extended(docs, "n_removed int")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in batches:
             spans, column, gone = batch.column(len(names)), batch.column(place), [0] * batch.num_rows
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
             if hit:
                 texts = column.to_pylist()
                 for i in hit:
-                    parts = sentences(texts[i])
-                    covered = {k for s in spans[i].as_py() for k in range(s["a"], min(s["b"], len(parts)))}
-                    texts[i], gone[i] = _without(texts[i], parts, covered) if covered else texts[i], len(covered)
+                    if covered := passages([(s["a"], s["b"]) for s in spans[i].as_py()], passage):
+                        _, bounds = cuts(texts[i], known)
+                        gone[i] = len({k for a, b in covered for k in range(int(np.searchsorted(bounds, a, "right")), int(np.searchsorted(bounds, min(b, bounds[-1]))) + 1)})
+                        texts[i] = without(texts[i], covered)
                 column = pa.array(texts, pa.string())
             columns = [column if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=schema.names)
@@ -165,12 +204,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return texts_in_arrow(joined.select(*names, spans_of), cut, schema)
 
 
-def _without(text: str, parts: list[tuple[int, int, int, str]], covered: set[int]) -> str:
+def passages(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Adjoining and overlapping spans as one, of ``least`` words or more."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= least]
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without words [first, end) of each span; ends may lie behind the last word."""
+    places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
-    for i, (start, end, _, _) in enumerate(parts):
-        if i in covered:
-            out.append(text[at:start])
-            at = end
+    for a, b in spans:
+        out.append(text[at : places[a][0]])
+        at = places[min(b, len(places)) - 1][1]
     return "".join([*out, text[at:]]).strip()
 
 

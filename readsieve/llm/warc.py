@@ -73,16 +73,18 @@ class _Plain:
     def block(self) -> bytes:
         if self.left > len(self.buffer):
             self.buffer += self.file.read(self.left - len(self.buffer))
+            if self.left > len(self.buffer):
+                raise ValueError("the archive ends inside a block")
         block, self.buffer, self.left = self.buffer[: self.left], self.buffer[self.left :], 0
         return block
 
 
 class _Gzip:
-    """Records that are gzip members of their own. The members' skip lengths are used where they are given."""
+    """Records in gzip members, one each or several. A member's skip lengths, if given, serve to pass over its last record's block."""
 
     def __init__(self, file, start: bytes):
         self.file, self.buffer = file, start
-        self.inflater, self.head_rest, self.skip, self.left = None, b"", None, 0
+        self.inflater, self.plain, self.left = None, b"", 0
 
     def _fill(self, n: int) -> bool:
         while len(self.buffer) < n:
@@ -92,55 +94,81 @@ class _Gzip:
             self.buffer += more
         return True
 
-    def record(self) -> bytes | None:
-        self._finish()
-        if not self._fill(18):
-            return None
-        self.skip = None
+    def _open(self) -> bool:
+        """Begins the next member; False at the end of the archive."""
+        if not self._fill(1):
+            return False
+        if not self._fill(18) or self.buffer[:2] != b"\x1f\x8b":
+            raise ValueError("neither a gzip member nor the end of the archive")
+        self.skip = self.whole = None
         if self.buffer[3] & 4 and self.buffer[12:14] == b"sl" and struct.unpack_from("<H", self.buffer, 14)[0] == 8 and self._fill(24):
-            self.skip = struct.unpack_from("<I", self.buffer, 16)[0]
-        self.taken = 0
-        self.inflater, plain = zlib.decompressobj(31), b""
-        while b"\r\n\r\n" not in plain.lstrip(b"\r\n"):
-            more = self._inflate(16_384)
-            if more is None:
-                break
-            plain += more
-        head, _, self.head_rest = plain.lstrip(b"\r\n").partition(b"\r\n\r\n")
-        self.left = _length(head)
-        return head
+            self.skip, self.whole = struct.unpack_from("<II", self.buffer, 16)
+        self.inflater, self.taken, self.given = zlib.decompressobj(31), 0, 0
+        return True
 
     def _inflate(self, most: int) -> bytes | None:
         """Up to ``most`` bytes; None at the end of the member."""
-        if self.inflater.eof or not (self.buffer or self._fill(1)):
+        if self.inflater.eof:
             return None
+        if not self._fill(1):
+            raise ValueError("the archive ends inside a gzip member")
         size = len(self.buffer)
         out = self.inflater.decompress(self.buffer, most)
         self.buffer = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
         self.taken += size - len(self.buffer)
+        self.given += len(out)
         return out
 
-    def _finish(self) -> None:
-        if self.inflater is None:
+    def record(self) -> bytes | None:
+        self._pass()
+        while True:
+            self.plain = self.plain.lstrip(b"\r\n")
+            if b"\r\n\r\n" in self.plain:
+                break
+            if self.inflater is None:
+                if not self._open():
+                    if self.plain:
+                        raise ValueError("the archive ends inside a record's header")
+                    return None
+            elif (more := self._inflate(16_384)) is not None:
+                self.plain += more
+            else:
+                self.inflater = None
+        head, _, self.plain = self.plain.partition(b"\r\n\r\n")
+        self.left = _length(head)
+        return head
+
+    def _pass(self) -> None:
+        """Goes behind the block, by a seek if the member ends there."""
+        if not self.left:
             return
-        if self.skip and not self.inflater.eof and self.skip >= self.taken:
+        if self.skip and not self.inflater.eof and self.given - len(self.plain) + self.left + 4 == self.whole and self.skip >= self.taken:
             ahead = self.skip - self.taken
             if ahead <= len(self.buffer):
                 self.buffer = self.buffer[ahead:]
             else:
                 self.file.seek(self.file.tell() + ahead - len(self.buffer))
                 self.buffer = b""
-        else:
-            while self._inflate(CHUNK) is not None:
-                pass
-        self.inflater = None
+            self.inflater, self.plain, self.left = None, b"", 0
+        while self.left > len(self.plain):
+            self.left -= len(self.plain)
+            self.plain = self._more(CHUNK)
+        self.plain, self.left = self.plain[self.left :], 0
+
+    def _more(self, most: int) -> bytes:
+        more = self._inflate(most)
+        if more is None:
+            raise ValueError("a gzip member ends inside a block")
+        return more
 
     def block(self) -> bytes:
-        parts, size = [self.head_rest], len(self.head_rest)
-        while size < self.left and (more := self._inflate(max(1, self.left - size))) is not None:
-            parts.append(more)
-            size += len(more)
-        return b"".join(parts)[: self.left]
+        parts, size = [self.plain], len(self.plain)
+        while size < self.left:
+            parts.append(self._more(max(1, self.left - size)))
+            size += len(parts[-1])
+        whole = b"".join(parts)
+        block, self.plain, self.left = whole[: self.left], whole[self.left :], 0
+        return block
 
 
 def _length(head: bytes) -> int:

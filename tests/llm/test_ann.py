@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readsieve.llm import ann
 
@@ -67,3 +68,28 @@ def test_query(spark):
     got = ann.op4_ann(spark, DATA)
     assert [f.simpleString() for f in got.schema] == ["query_id:bigint", "rank:int", "vec_id:bigint", "score:double"]
     assert got.count() == 200
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """A row that most of the table repeats is one candidate; columns with the operator's own names play no part."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(40)]
+    many = rows + [rows[3]] * 3000 + [(50 + i, rows[3][1]) for i in range(40)]
+    df = table(spark, [(i, v, -1, "x") for i, v in many])
+    for name in ("h", "ks", "r", "shard", "asks", "rank", "score", "query_id"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = ann.nearest_neighbours(df.repartition(6), df.where("vec_id in (3, 7, 60)").drop("rank"))
+    wanted = [(i, v) for i, v in rows + [(50 + i, rows[3][1]) for i in range(40)]]
+    rounded = lambda found: sorted((q, k, i, round(s, 9)) for q, k, i, s in found)
+    assert rounded(tuple(r) for r in got.collect()) == rounded(brute(wanted, [r for r in wanted if r[0] in (3, 7, 60)]))
+
+
+def test_shards_stay_few(spark, monkeypatch):
+    """Beyond SHARDS shards they grow instead of their number, and the answers stay."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(3)]) for i in range(300)]
+    monkeypatch.setattr(ann, "SHARDS", 2)
+    got = ann.nearest_neighbours(table(spark, rows), table(spark, rows[::50]), shard_rows=10)
+    rounded = lambda found: sorted((q, k, i, round(s, 9)) for q, k, i, s in found)
+    have, want = rounded(tuple(r) for r in got.collect()), rounded(brute(rows, rows[::50]))
+    assert len(have) == len(want) and len(set(have) & set(want)) >= 0.95 * len(want)

@@ -69,6 +69,18 @@ def test_digest(spark, shard):
     assert got == {1: (18, 16, 3, sha(1, 2, 10), True), 2: (2, 0, 0, sha(), False), 3: (40, 2, 2, sha(2, 10), True), 4: (41, 2, 2, sha(2, 10), False), 5: (0, 0, 0, sha(), False), 6: (0, 0, 0, sha(), False)}
 
 
+@pytest.mark.parametrize("held", [0, dc.HELD_BYTES])
+def test_several_shards_with_null_repeated_and_clashing_keys(spark, monkeypatch, held):
+    monkeypatch.setattr(dc, "HELD_BYTES", held)
+    items = [(1, "red green blue"), (2, "one two"), (3, "green blue black"), (3, "two three"), (None, "never asked for")]
+    rows = [(7, "a red green blue black z", None), (7, "one two three", None), (None, "red green blue one two three", None), (7, "one two three", None), (8, "never asked for", None)]
+    df = dc.search(plain(spark, rows).repartition(1), benchmark(spark, items), shard_bytes=5)
+    assert len(list(dc.shards(benchmark(spark, items), "item_id", "text", 5))) > 1
+    got = sorted((r.text, spread([(s.first, s.end) for s in r.hits]), r["items"], r.n_words) for r in df.collect())
+    want = sorted((t, hit, found, n) for t in (t for _, t, _ in rows) for n, hit, found in [brute(t, items[:-1])])
+    assert got == want
+
+
 def test_removal(spark):
     rows = [(1, "Keep this. Short, item! and " + "more " * 60, None), (2, "short item here", None), (3, None, None), (4, "clean", None)]
     got = {r.doc_id: r.text for r in dc.remove_spans(plain(spark, rows), benchmark(spark)).collect()}

@@ -14,11 +14,34 @@ def test_boundaries_are_optimal():
     for _ in range(150):
         lengths = sorted(rng.sample(range(60), rng.randint(1, 8)))
         counts, k = [rng.randint(1, 9) for _ in lengths], rng.randint(1, 5)
-        chosen = pk.plan(lengths, counts, [a * b for a, b in zip(lengths, counts, strict=True)], k)
+        chosen = pk.plan(lengths, counts, k)
         pad = lambda edges: sum((min(e for e in edges if e >= n) - n) * c for n, c in zip(lengths, counts, strict=True))
         best = min(pad((*cut, lengths[-1])) for r in range(min(k, len(lengths))) for cut in itertools.combinations(lengths[:-1], r))
         assert chosen.padding == best == pad(chosen.boundaries) and sum(chosen.documents) == sum(counts) and len(chosen.boundaries) <= k
-    assert pk.plan([], [], []).boundaries == []
+    assert pk.plan([], []).boundaries == []
+
+
+def quadratic(lengths, counts, buckets):
+    """Least padding, by trying every cut before every length."""
+    best = [0] + [float("inf")] * len(lengths)
+    for _ in range(buckets):
+        best = [0] + [min(best[i] + sum((lengths[j] - n) * c for n, c in zip(lengths[i : j + 1], counts[i : j + 1])) for i in range(j + 1)) for j in range(len(lengths))]
+    return best[-1]
+
+
+def test_boundaries_are_optimal_for_long_documents():
+    rng = random.Random(3)
+    for _ in range(6):
+        lengths = sorted(rng.sample(range(20_000), 60))
+        counts, k = [rng.randint(1, 1000) for _ in lengths], rng.randint(1, 9)
+        assert pk.plan(lengths, counts, k).padding == quadratic(lengths, counts, k)
+
+
+def test_many_lengths_take_no_square_of_steps():
+    rng = random.Random(4)
+    lengths = sorted(rng.sample(range(10_000_000), 100_000))
+    chosen = pk.plan(lengths, [rng.randint(1, 50) for _ in lengths], 16)
+    assert len(chosen.boundaries) == 16 and chosen.boundaries[-1] == lengths[-1]
 
 
 def verify(rows, budget):
@@ -52,6 +75,14 @@ def test_one_bucket_with_most_rows_is_spread(spark):
     verify(got, 64)
 
 
+def test_equal_rows_are_spread(spark):
+    """A key, or none, that most rows have."""
+    rows = [(None, "a b c", None)] * 700 + [(1, "a b c", None)] * 500 + [(i, "a b", None) for i in range(2, 100)]
+    got = pk.pack(plain(spark, rows).repartition(3), budget=60, slice_rows=30).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 700 and sum(r.doc_id == 1 for r in got) == 500
+    verify(got, 60)
+
+
 def test_word_count(spark):
     texts = ["", None, " a\tb\n", "\x0b\x0cx", "a b c", "one"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(pk.word_count(F.col("t")).alias("n")).collect()]

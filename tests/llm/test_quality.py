@@ -60,3 +60,12 @@ def test_held_out_labels(spark):
     n = y.sum()
     assert (order[y == 1].sum() - n * (n + 1) / 2) / n / (len(y) - n) > 0.98
     assert (r.predicted == r.quality).mean() > 0.97
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    """However often a labelled id occurs in documents, the driver gets a row for each sampled label."""
+    docs = plain(spark, [(1, f"text number {i % 7}", None) for i in range(300)] + [(i, f"other text {i}", None) for i in range(2, 9)]).repartition(5)
+    seen = []
+    monkeypatch.setattr(q, "fit_rows", lambda counts, labels, weights, **_: seen.append((len(counts), labels.tolist())))
+    q.train(docs, labels(spark, [(i, i % 2) for i in range(1, 9)]))
+    assert [(n, sorted(y)) for n, y in seen] == [(8, [0] * 4 + [1] * 4)]

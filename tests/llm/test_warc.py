@@ -63,6 +63,22 @@ def test_other_writers(compress, payload):
     assert [r["payload"] for r in only] == [b""]
 
 
+def test_several_records_in_one_member():
+    plain = foreign(False) + warc.member([("WARC-Type", "resource")], b"z" * 3_000_000, False) + foreign(False)
+    for blob in (gzip.compress(plain), gzip.compress(plain) + foreign(True) + b"", gzip.compress(foreign(False)) * 2):
+        rows = list(warc.records(io.BytesIO(blob)))
+        want = list(warc.records(io.BytesIO(gzip.decompress(blob))))
+        assert len(rows) >= 6 and rows == want
+        assert [r["warc_type"] for r in warc.records(io.BytesIO(blob), wanted=lambda r: r["warc_type"] != "resource", payload=False)] == [r["warc_type"] for r in want if r["warc_type"] != "resource"]
+
+
+def test_truncation_and_garbage_are_errors():
+    blob = gzip.compress(foreign(False))
+    for bad in (blob[:-12], blob + b"garbage behind the last member", gzip.compress(foreign(False)[:-20]), gzip.compress(foreign(False)[:150]), foreign(False)[:-70]):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(bad)))
+
+
 def test_members_are_gzip_and_can_be_skipped():
     blob = b"".join(warc.member([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:x:{i}>")], bytes([65 + i]) * (3_000_000 if i == 1 else 10), True) for i in range(4))
     assert gzip.decompress(blob).count(b"WARC/1.1") == 4
