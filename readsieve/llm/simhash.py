@@ -8,6 +8,8 @@ of all fingerprints. Part values within their threshold are probed by an equi-jo
 A part value that many fingerprints share is not paired within itself: there each fingerprint emits itself and its 64
 one-bit neighbours, and those that meet at a neighbour, at most 65, are within 2 bits of each other. That is exact for bounds of 2.
 Equal fingerprints are one node, so thousands of copies cost one.
+
+components() links fingerprints; deduplicate() takes a similarity instead, of which such links are only the first candidates.
 """
 
 from __future__ import annotations
@@ -43,9 +45,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     starts = [0, *ends[: len(words) - k].tolist()]
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), BLOCK):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+        counts += _set_bits(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK], strict=True)], "<u8"))
+    return _majority(counts, len(starts))
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes; none give 0."""
+    counts = sum((_set_bits(hashes[at : at + BLOCK].astype("<u8")) for at in range(0, len(hashes), BLOCK)), np.zeros(BITS, np.int64))
+    return _majority(counts, len(hashes))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint_bits") -> DataFrame:
@@ -149,7 +164,8 @@ def plan(nodes: DataFrame, bound: int = BOUND, choices: tuple[int, ...] = (2, 3,
 
 def near_links(nodes: DataFrame, scratch: Scratch, bound: int = BOUND) -> DataFrame:
     """Links (u, v) between fingerprints within the bound, enough to connect all that are; nodes has distinct ones in column fp."""
-    assert 0 <= bound <= 2, "one-bit neighbours meet within 2 bits"
+    if not 0 <= bound <= 2:
+        raise ValueError("one-bit neighbours meet within 2 bits; deduplicate() finds what is farther apart")
     rows = []
     for k, (bits, threshold) in enumerate(plan(nodes, bound)):
         rows.append(nodes.select(F.lit(k).alias("part"), _value(bits).alias("key"), "fp", F.lit(False).alias("probe")))
@@ -197,11 +213,16 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", bound:
     return marked.join(named, F.col("fp") == F.col("f")).select(F.col("_key").alias(key), F.col("fp").alias("fingerprint_bits"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", bound: int = BOUND) -> DataFrame:
-    """Documents without near copies: of each component the row of the smallest key stays. Rows with a null key stay."""
-    (copy,) = fresh(docs, "_copy")
-    copies = components(docs, text, key, bound).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(copy)).distinct()
-    return docs.join(copies, F.col(key) == F.col(copy), "left_anti")
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Documents without near copies, which have a Jaccard similarity of 0.8 or more on five-word shingles: of those linked by near pairs, also
+    over others, the one of the smallest key stays. Links of fingerprints propose pairs and an exact join finds those that they
+    can't; every pair is verified on the whole sets of shingles.
+
+    Texts without words are copies of each other. Rows with a null key stay and play no part. Repeated rows stay repeated; rows
+    that share a key and have other texts are documents of their own, of which none makes another a copy."""
+    from readsieve.llm import nearcopies  # which takes fingerprints from here
+
+    return nearcopies.deduplicate(docs, text, key)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
