@@ -22,7 +22,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 #: Rows that go to a Python worker at once where rows hold whole texts; memory on both sides follows it.
-TEXT_ROWS = 1_000
+TEXT_ROWS = 500
 
 
 def texts_in_arrow(df: DataFrame, function, schema) -> DataFrame:

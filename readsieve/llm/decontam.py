@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm.common import extended, fresh, texts_in_arrow
+from readsieve.llm.common import extended, texts_in_arrow
 
 WINDOW = 13
 #: UTF-8 bytes of test items that one automaton is built of, and so the size of a broadcast.
@@ -178,12 +178,24 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
     Null and empty texts have no words and no hits; rows may repeat and keys play no part; an empty benchmark gives no hits."""
     docs = docs.drop("n_words", "hits", "items")
-    spark, place = docs.sparkSession, docs.columns.index(text)
     schema = extended(docs, "n_words long, hits array<struct<first:int,end:int>>, items array<long>")
-    sent = [spark.sparkContext.broadcast({"items": shard}) for shard in shards(items, item_id, item_text, shard_bytes)]
     spans = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    walk = _walker(docs, items, text, item_id, item_text, window, shard_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, counts, hits, found in walk(batches):
+            of = pa.array([[{"first": a, "end": b} for a, b in h] for h in hits], spans)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), of, pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], names=schema.names)
+
+    return texts_in_arrow(docs, scan, schema)
+
+
+def _walker(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, shard_bytes: int):
+    """A function for tasks: of batches of docs it gives each one with the rows' numbers of words, hit spans and items found."""
+    place = docs.columns.index(text)
+    sent = [docs.sparkSession.sparkContext.broadcast({"items": shard}) for shard in shards(items, item_id, item_text, shard_bytes)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[list[tuple[int, int]]], list[set[int]]]]:
         for held in _bundles(batches, HELD_BYTES if len(sent) > 1 else 0):
             counts = [[0] * b.num_rows for b in held]
             hits: list[list[list[tuple[int, int]]]] = [[[] for _ in c] for c in counts]
@@ -198,11 +210,9 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                         if more:
                             hits[k][row] = merged(hits[k][row] + more)
                             found[k][row] |= ids
-            for k, batch in enumerate(held):
-                of = pa.array([[{"first": a, "end": b} for a, b in h] for h in hits[k]], spans)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[k], pa.int64()), of, pa.array([sorted(x) for x in found[k]], pa.list_(pa.int64()))], names=schema.names)
+            yield from zip(held, counts, hits, found, strict=True)
 
-    return texts_in_arrow(docs, scan, schema)
+    return walk
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
@@ -233,23 +243,23 @@ def digest(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * COVERAGE >= F.col("n_words")))
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", coverage: int = COVERAGE, **options) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", coverage: int = COVERAGE, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Documents without benchmark passages: those of which one word in ``coverage`` or more is hit go; from the others the hit
     words go, with what stands between them. Columns stay as they are. Null and clean texts stay untouched."""
-    names, place, schema = docs.columns, docs.columns.index(text), docs.schema
-    own = [c for c in names if c.lower() in ("n_words", "hits", "items")]  # those of docs are kept under other names meanwhile
-    found = search(docs.withColumnsRenamed(dict(zip(own, fresh(docs, *[f"{c}_" for c in own]), strict=True))), items, text, **options)
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
-    kept = found.where(~((hit > 0) & (hit * coverage >= F.col("n_words"))))
+    names, place = docs.columns, docs.columns.index(text)
+    walk = _walker(docs, items, text, item_id, item_text, window, shard_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
-            new = [without(t, [(s["first"], s["end"]) for s in h]) if h else t for t, h in zip(texts, hits, strict=True)]
-            columns = [pa.array(new, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return texts_in_arrow(kept.drop("n_words", "items"), cut, schema)
+        for batch, counts, hits, _ in walk(batches):
+            n_hit = [sum(b - a for a, b in h) for h in hits]
+            stay = [not n or n * coverage < of for n, of in zip(n_hit, counts, strict=True)]
+            column = batch.column(place)
+            if any(n and s for n, s in zip(n_hit, stay, strict=True)):
+                column = pa.array([without(t.as_py(), h) if h and s else t.as_py() for t, h, s in zip(column, hits, stay, strict=True)], pa.string())
+            columns = [column if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
+
+    return texts_in_arrow(docs, cut, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
