@@ -40,11 +40,11 @@ def _hashes(line: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
 
 
-def _around(k: Column, line: Column, n: Column, size: Column, region: int, regions: int) -> Column:
+def _around(k: Column, line: Column, n: Column, size: Column, region: Column, regions: int) -> Column:
     """Hash of k and what stands before and behind a region of a line that belongs to the band of ``size`` characters."""
     part = (size / regions).cast("int")
     behind = part * (regions - 1 - region)
-    return F.xxhash64(k, size, F.lit(region), F.substring(line, F.lit(1), part * region), F.substring(line, n - behind + 1, behind))
+    return F.xxhash64(k, size, region, F.substring(line, F.lit(1), part * region), F.substring(line, n - behind + 1, behind))
 
 
 def _bands(build, n: Column) -> Column:
@@ -55,7 +55,7 @@ def _bands(build, n: Column) -> Column:
 
 def _halves() -> Column:
     """Keys of a line's halves; none of a short line."""
-    keys = _bands(lambda size: F.array(*[_around(F.lit(0), F.col("line"), F.col("n"), size, s, 2) for s in range(2)]), F.col("n"))
+    keys = _bands(lambda size: F.array(*[_around(F.lit(0), F.col("line"), F.col("n"), size, F.lit(s), 2) for s in range(2)]), F.col("n"))
     return F.when(F.col("n") < LEAST, F.expr("cast(array() as array<bigint>)")).otherwise(keys)
 
 
@@ -67,13 +67,12 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 def _cut(rows: DataFrame) -> DataFrame:
     """(id, k, region) of the eighths of the regions in rows, with new keys; those that no other line shares go."""
-    region, n = F.col("region"), F.length("region")
-
-    def eighths(size: Column) -> Column:
-        part = (size / 8).cast("int")
-        return F.array(*[F.struct(_around(F.col("k"), region, n, size, s, 8).alias("k"), F.substring(region, part * s + 1, n - part * 7).alias("region")) for s in range(8)])
-
-    return _shared(rows.select("id", F.explode(_bands(eighths, n)).alias("x")).select("id", "x.k", "x.region"))
+    held = rows.withColumn("n", F.length("region")).withColumn("size", F.explode(_bands(F.array, F.col("n"))))
+    # a row each, so that the expressions of a key stand in the plan once and not for every eighth of either band
+    held = held.withColumn("s", F.explode(F.array(*[F.lit(s) for s in range(8)])))
+    region, n, size, s = (F.col(c) for c in ("region", "n", "size", "s"))
+    part = (size / 8).cast("int")
+    return _shared(held.select("id", _around(F.col("k"), region, n, size, s, 8).alias("k"), F.substring(region, part * s + 1, n - part * 7).alias("region")))
 
 
 def _variants(regions: DataFrame) -> DataFrame:
@@ -114,11 +113,12 @@ def _near(rows: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
     groups = groups.select(F.bitwise_not(F.bitwise_not("v")).alias("vv"), "m0", "m1", "m2")
     other = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
     met = variants.join(groups, F.col("v") == F.col("vv")).withColumn("other", other).where("other < id").groupBy("id").agg(F.min("other").alias("other"))
+    met = scratch.table(met, "met")
     left = texts.select(F.col("id").alias("lid"), F.col("line").alias("l"))
     right = texts.select(F.col("id").alias("rid"), F.col("line").alias("r"))
     seen = met.join(left, F.col("id") == F.col("lid")).join(right, F.col("other") == F.col("rid")).where(F.levenshtein("l", "r", 1) >= 0)
     near = scratch.table(seen.select(*[c.alias(f"n{x}") for c, x in zip(_hashes("l"), "hg", strict=True)]), "near")
-    for name in ("wanted", "texts", "variants", *[f"level-{i}" for i in range(k)]):
+    for name in ("wanted", "texts", "variants", "met", *[f"level-{i}" for i in range(k)]):
         scratch.drop(name)
     return near
 
@@ -148,7 +148,12 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edi
     again = again.withColumnsRenamed({"h": "ah", "g": "ag"})
     first = (F.col("key") == F.col("fkey")) & (F.col("pos") == F.col("fpos")) & (F.col("whole") == F.col("fwhole"))
     gone = marked.select("key", "whole", "pos", "h", "g").join(again, (F.col("h") == F.col("ah")) & (F.col("g") == F.col("ag"))).where(~F.coalesce(first, F.lit(False)))
-    return gone.groupBy("key", "whole").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.groupBy("key", "whole").agg(F.collect_set("pos").alias("gone"))
+    if edits:  # a query of its own: one with all joins of this module keeps the driver's memory busy with their stages at once
+        gone = scratch.table(gone, "gone")
+        for name in ("marked", "firsts", "near"):
+            scratch.drop(name)
+    return gone
 
 
 def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = 1) -> DataFrame:

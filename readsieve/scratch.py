@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Share of the driver's heap beyond which, when a table is written, garbage is collected: plans, broadcasts and shuffle files of finished steps.
+HEAP = 0.5
+
+
 class Scratch:
     """Intermediate tables in the shared folder; they cut lineage and survive lost executors.
 
@@ -44,10 +48,22 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df once and gives the written table."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes df once and gives the written table.
+
+        Tasks move their files themselves (version 2 of the commit), so that the driver doesn't for each in turn; nothing reads a table
+        whose write failed, nor a mark of success."""
+        commit = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+        df.write.mode("overwrite").options(compression="zstd", **commit).parquet(self.path(name))
+        self._collect_garbage()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _collect_garbage(self) -> None:
+        """Spark frees what finished steps leave only when the driver's heap is collected, which a large one puts off."""
+        jvm = self.spark.sparkContext._jvm
+        heap = jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > HEAP * heap.maxMemory():
+            jvm.java.lang.System.gc()
+
     def drop(self, name: str) -> None:
         fs, hadoop = self._fs(self.path(name))
         fs.delete(hadoop, True)
