@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from readsieve.llm import substring as ss
 from tests.llm.edge import CLASHES, documents, plain
@@ -70,6 +72,40 @@ def test_pieces_and_runs_by_the_rule():
         assert len(set(by_hash.values())) == len(by_hash)
 
 
+def spans(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["key", "whole", "text"])
+    return pa.Table.from_batches(ss._spans(iter([batch]))).to_pylist()
+
+
+def test_many_texts_at_once_as_each_alone(monkeypatch):
+    texts = [None, "", " \n", *(t for _, t in corpus(2, 60)), "one", None, *(t for _, t in corpus(3, 20))]
+    texts += [" ".join(texts[5:9]).swapcase(), "\u3000"]
+    alone = [x | {"key": i, "whole": i} for i, t in enumerate(texts) for x in spans([t])]
+    for most in (1, 700, 10**6):
+        monkeypatch.setattr(ss, "AT_ONCE", most)
+        assert spans(texts) == alone
+    code = lambda w: (ss._Known()[w] >> 13) % 8
+    for x in alone:
+        words = texts[x["key"]].lower().split()
+        behind, before = words[x["at"] + x["n"] :][: ss.AROUND], words[: x["at"]][::-1][: ss.AROUND]
+        assert (x["before"], x["behind"]) == tuple(sum(code(w) << 3 * k for k, w in enumerate(ws)) for ws in (before, behind))
+
+
+def test_short_texts_cost_little_more_than_as_many_words_in_one():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(60_000)]
+
+    def seconds(texts):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            spans(texts)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds([" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]) < 4 * seconds([" ".join(words)])
+
+
 def test_every_passage_over_fifty_words_goes_and_little_else(spark):
     rows = corpus(4)
     got = {r.doc_id: r for r in ss.remove_repeats(plain(spark, [(i, t, None) for i, t in rows]).repartition(5)).collect()}
